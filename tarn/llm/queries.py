@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import chat, exact_dedup, mixing, packing, substring_dedup, toxicity, warc
+from tarn.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, substring_dedup, toxicity, warc
 from tarn.session import table
 
 
@@ -20,10 +20,22 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.listing(spark, warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,14 +53,19 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op4_ngram_join": ngram_join.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op6_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
