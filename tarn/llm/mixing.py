@@ -65,10 +65,10 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return x.withColumn("target", target).select("skey", "rank", "source_size", "target", "total")
 
 
-def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """A row for each document: doc_id, size, source_size, target, taken; and the columns named by ``carry``."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = materialize(docs.select(F.col("doc_id"), key.alias("skey"), word_count().alias("size")), "sizes")
+    sized = materialize(docs.select(F.col("doc_id"), key.alias("skey"), word_count().alias("size"), *(carry or [])), "sizes")
     one = Window.partitionBy(F.lit(0))
     block = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(one) / 200))).cast("long")
     sources = source_targets(sized).withColumn("block", F.coalesce(block, F.lit(1).cast("long")))
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> Da
     zero, end = F.lit(0).cast("long"), F.col("start") + F.col("rest")
     part = F.greatest(zero, F.least("b", end) - F.greatest("a", "start")) + F.greatest(zero, F.least(F.col("b"), end - F.col("cell")) - F.col("a"))
     taken = F.when(F.col("size") > 0, F.coalesce(F.col("full") * F.col("size") + part, zero)).otherwise(zero)
-    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(carry or []))
 
 
 ORACLE_SQL = r"""

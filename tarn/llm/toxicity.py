@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     return ToxicityModel(vocabulary, df, df.get("", 0), examples, table["doc_id"].to_pylist(), weight, label)
 
 
-def _score(model: ToxicityModel, threshold: float):
+def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
     def run(batches):
         memo: dict = {}
         for b in batches:
@@ -242,16 +242,16 @@ def _score(model: ToxicityModel, threshold: float):
                 out.append(s)
             scores = pa.array([s for s, _ in out], pa.float64())
             extra = [pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), scores, *extra], names=[*b.schema.names, "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), scores, *extra], names=[*b.schema.names, *names])
 
     return run
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, and score, predicted, evidence (names that docs has already are replaced)."""
-    docs = docs.drop("score", "predicted", "evidence")
+def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+    """All columns of docs, and score, predicted and evidence under ``names`` (columns that docs has by these names are replaced)."""
+    docs = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model, threshold), f"{fields}, score double, predicted int, evidence string")
+    return docs.mapInArrow(_score(model, threshold, names), f"{fields}, {names[0]} double, {names[1]} int, {names[2]} string")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
