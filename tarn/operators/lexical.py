@@ -38,6 +38,10 @@ def query_terms(spark, query: str) -> DataFrame:
     return spark.createDataFrame([(query,)], "q string").select(F.explode(code_tokens("q")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qn"))
 
 
+def _count(tokens: str, term: str):
+    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
+
+
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of the documents that hold a term of the query.
 
@@ -51,7 +55,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     if not asked:
         return tokens.select(key, F.lit(0.0).alias("score")).where("false")
     terms = sorted(asked)
-    counted = tokens.select(key, F.size("t").cast("long").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).cast("double").alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = tokens.select(key, F.size("t").cast("long").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats), F.lit(True))  # stats: one row
     score = F.lit(0.0)

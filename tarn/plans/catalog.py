@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tarn.plans import queries_code, queries_graph, queries_retrieval, queries_state
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "bm25_topk"
+for _module in (queries_retrieval, queries_code, queries_graph, queries_state):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
+FLAGSHIP = "graph_aware_retrieve"
