@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
 Fitting takes at most MOST_EXAMPLES labelled documents of each label (those of the least hashes), weighted back to
-the labels' true counts. Terms of the index are those whose presence depends on the label; their document
-frequencies are counted over the whole corpus. Examples of equal vectors are one exemplar with the sum of their
+the labels' true counts. Terms are the first STEM letters of words; those of the index are the MOST_TERMS whose
+presence depends most on the label; their document frequencies are counted over the whole corpus. Examples of equal vectors are one exemplar with the sum of their
 votes. The index holds, for each term, postings by blocks of exemplars and the largest weight in each block: a block
 is scored only while the bound of its cosine exceeds that of the K-th vote, so the result is the exact one.
 
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_EXAMPLES, LEAST_DF, LEAST_Z, MOST_TERMS, BLOCK, K, PRIOR_VOTES, THRESHOLD = 6000, 5, 4.0, 4000, 64, 40, 2.0, 0.3
+MOST_EXAMPLES, LEAST_DF, LEAST_Z, MOST_TERMS, STEM, BLOCK, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 6.0, 300, 5, 64, 40, 2.0, 0.3
 TERM = re.compile(r"[^\W_]+")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return TERM.findall((text or "").lower())
+    """The first STEM letters of each word, so that endings don't matter."""
+    return [w[:STEM] for w in TERM.findall((text or "").lower())]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -68,38 +69,43 @@ class BlockMaxIndex:
                 by_term[t].append((i, w))
         self.ids = [np.array([i for i, _ in p], np.int64) for p in by_term]
         self.weights = [np.array([w for _, w in p]) for p in by_term]
-        self.starts = [np.searchsorted(ids, np.arange(self.blocks + 1) * block) for ids in self.ids]
+        self.block_of = [ids // block for ids in self.ids]
         self.most = np.zeros((terms, self.blocks))
         for t, ids in enumerate(self.ids):
-            np.maximum.at(self.most[t], ids // block, self.weights[t])
+            np.maximum.at(self.most[t], self.block_of[t], self.weights[t])
 
     def nearest(self, query: dict[int, float], votes: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
         """Exemplars, nearest first, until their votes reach k (with all ties of the last), and their cosines."""
         terms = sorted(query)
         bound = sum(query[t] * self.most[t] for t in terms) if terms else np.zeros(self.blocks)
-        found, cosines, have = np.zeros(0, np.int64), np.zeros(0), 0.0
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or have >= k and bound[b] < least - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for t in terms:
-                i, j = self.starts[t][b], self.starts[t][b + 1]
-                if j > i:
-                    sums[self.ids[t][i:j] - b * self.block] += query[t] * self.weights[t][i:j]
-            hit = np.flatnonzero(sums)
+        found, cosines, have, least = np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, size = 0, 4
+        while at < len(order):
+            # blocks in falling order of their bounds, ever more at a time
+            now = order[at : at + size]
             if have >= k:
-                hit = hit[sums[hit] >= least - 1e-12]
+                now = now[bound[now] >= least - 1e-12]
+                if not len(now):
+                    break
+            at, size = at + size, size * 4
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            sums = np.zeros(self.n)
+            for t in terms:
+                take = chosen[self.block_of[t]]
+                sums[self.ids[t][take]] += query[t] * self.weights[t][take]
+            hit = np.flatnonzero(sums >= (least - 1e-12 if have >= k else 1e-12))
             if not len(hit):
                 continue
-            found, cosines = np.append(found, hit + b * self.block), np.append(cosines, sums[hit])
-            order = np.lexsort((found, -np.round(cosines, 12)))
-            found, cosines = found[order], cosines[order]
+            found, cosines = np.append(found, hit), np.append(cosines, sums[hit])
+            place = np.lexsort((found, -np.round(cosines, 12)))
+            found, cosines = found[place], cosines[place]
             cum = np.cumsum(votes[found])
             have = cum[-1]
             if have >= k:
-                last = int(np.searchsorted(cum, k))
-                least = cosines[last]
+                least = cosines[int(np.searchsorted(cum, k))]
                 keep = int(np.searchsorted(-cosines, -(least - 1e-12), "right"))
                 found, cosines = found[:keep], cosines[:keep]
         return found, cosines
@@ -197,7 +203,7 @@ def _frequencies(vocabulary: frozenset):
             n += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
-                    seen.update(vocabulary.intersection(TERM.findall(t.lower())))
+                    seen.update(vocabulary.intersection(terms_of(t)))
         yield pa.record_batch([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
     return run
