@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
 Fitting takes at most MOST_EXAMPLES labelled documents of each label (those of the least hashes), weighted back to
-the labels' true counts. Terms are the first STEM letters of words; those of the index are the MOST_TERMS whose
+the labels' true counts. Terms are beginnings of words (STEMS letters); those of the index are at most MOST_TERMS whose
 presence depends most on the label; their document frequencies are counted over the whole corpus. Examples of equal vectors are one exemplar with the sum of their
 votes. The index holds, for each term, postings by blocks of exemplars and the largest weight in each block: a block
 is scored only while the bound of its cosine exceeds that of the K-th vote, so the result is the exact one.
@@ -25,24 +25,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_EXAMPLES, LEAST_DF, LEAST_Z, MOST_TERMS, STEM, BLOCK, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 6.0, 300, 5, 64, 40, 2.0, 0.3
+MOST_EXAMPLES, LEAST_DF, LEAST_Z, MOST_TERMS, BLOCK, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 5.0, 300, 64, 40, 2.0, 0.3
+STEMS = (3, 4, 5, 6, 7, 8)
 TERM = re.compile(r"[^\W_]+")
 
 
 def terms_of(text: str | None) -> list[str]:
-    """The first STEM letters of each word, so that endings don't matter."""
-    return [w[:STEM] for w in TERM.findall((text or "").lower())]
+    return TERM.findall((text or "").lower())
+
+
+class Vocabulary(dict):
+    """Word -> numbers of the terms that it begins with; words met are remembered, in bounded number."""
+
+    def __init__(self, terms: list[str]):
+        super().__init__()
+        self.terms = {t: i for i, t in enumerate(terms)}
+
+    def __reduce__(self):
+        return Vocabulary, (list(self.terms),)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = tuple(i for n in STEMS if len(word) >= n and (i := self.terms.get(word[:n])) is not None)
+        return found
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def choose_terms(examples: list[list[str]], weight: np.ndarray, label: np.ndarray) -> list[str]:
-    """Terms of which the share of documents differs between the labels by LEAST_Z standard errors."""
+def choose_terms(examples: list[list[str]], label: np.ndarray) -> list[str]:
+    """Beginnings of words of which the share of documents differs between the labels by LEAST_Z standard errors; of nested ones the most telling."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for terms, y in zip(examples, label.tolist(), strict=True):
-        counts[y].update(set(terms))
+    for words, y in zip(examples, label.tolist(), strict=True):
+        counts[y].update({w[:n] for w in set(words) for n in STEMS if len(w) >= n})
     n = np.bincount(label, minlength=2).astype(float)
     if not n.all():
         return []
@@ -54,8 +71,17 @@ def choose_terms(examples: list[list[str]], weight: np.ndarray, label: np.ndarra
         p = (a + b) / n.sum()
         z = abs(a / n[1] - b / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))
         if z >= LEAST_Z:
-            scored.append((-z, t))
-    return [t for _, t in sorted(scored)[:MOST_TERMS]]
+            scored.append((-round(z, 6), -len(t), t))
+    chosen: dict[str, None] = {}
+    within: set[str] = set()
+    for _, _, t in sorted(scored):
+        if len(chosen) == MOST_TERMS:
+            break
+        parts = [t[:k] for k in STEMS if k <= len(t)]
+        if t not in within and not any(x in chosen for x in parts):
+            chosen[t] = None
+            within.update(parts)
+    return list(chosen)
 
 
 class BlockMaxIndex:
@@ -113,7 +139,7 @@ class BlockMaxIndex:
 
 class ToxicityModel:
     def __init__(self, vocabulary: list[str], df: dict[str, int], documents: int, examples: list[list[str]], ids: list, weight: np.ndarray, label: np.ndarray):
-        self.terms = {t: i for i, t in enumerate(vocabulary)}
+        self.terms = Vocabulary(vocabulary)
         self.idf = [math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in vocabulary]
         groups: dict[tuple, list] = {}
         keys = []
@@ -145,7 +171,7 @@ class ToxicityModel:
     def key(self, terms: list[str]) -> tuple:
         """The terms of the index in a text with their counts."""
         known = self.terms
-        return tuple(sorted(Counter(i for t in terms if (i := known.get(t)) is not None).items()))
+        return tuple(sorted(Counter(i for t in terms for i in known[t]).items()))
 
     def vector(self, key: tuple) -> dict[int, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in key}
@@ -195,16 +221,17 @@ def _terms(batches):
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([terms_of(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "toxic", "terms"])
 
 
-def _frequencies(vocabulary: frozenset):
+def _frequencies(terms: list[str]):
     def run(batches):
+        known = Vocabulary(terms)
         seen: Counter = Counter()
         n = 0
         for b in batches:
             n += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
-                    seen.update(vocabulary.intersection(terms_of(t)))
-        yield pa.record_batch([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
+                    seen.update({i for w in set(terms_of(t)) for i in known[w]})
+        yield pa.record_batch([pa.array(["", *(terms[i] for i in seen)]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -228,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     of = np.bincount(label, minlength=2)
     weight = np.array([counts.get(y, 0) / max(1, of[y]) for y in (0, 1)])[label]
     examples = table["terms"].to_pylist()
-    vocabulary = choose_terms(examples, weight, label)
-    found = docs.select("text").mapInArrow(_frequencies(frozenset(vocabulary)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    vocabulary = choose_terms(examples, label)
+    found = docs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r["term"]: r["n"] for r in found}
     return ToxicityModel(vocabulary, df, df.get("", 0), examples, table["doc_id"].to_pylist(), weight, label)
 
