@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def pruned(path) -> F.col:
 
 
 def scan_tree(spark: SparkSession, root: str, supported_only: bool = True, extension: str | None = None) -> DataFrame:
-    """(path relative to root, content, size, language) of the files below a folder. Sizes and paths are read without contents where these aren't asked for."""
+    """(path relative to root, content, size, language) of the files below a folder that aren't empty (the binary source leaves those out). Sizes and paths are read without contents where these aren't asked for."""
     base = root.rstrip("/")
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
@@ -31,10 +32,7 @@ def scan_tree(spark: SparkSession, root: str, supported_only: bool = True, exten
 
 def decoded(files: DataFrame) -> DataFrame:
     """Adds text: UTF-8, where bytes that aren't are left out."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def utf8(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
