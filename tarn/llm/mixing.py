@@ -56,7 +56,6 @@ def source_targets(sized: DataFrame) -> DataFrame:
         "before": F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"),
         "rest": F.sum("w").over(one) - F.sum("w").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) + F.col("w"),
     })
-    big = lambda c: F.col(c).cast("decimal(38,0)")
     fits = (F.col("total") - F.col("before")).cast("decimal(19,0)") * F.col("w").cast("decimal(10,0)") <= F.col("cap").cast("decimal(19,0)") * F.col("rest").cast("decimal(19,0)")
     x = x.withColumn("stop", F.min(F.when(fits, F.col("at"))).over(one))
     level = lambda c: F.max(F.when(F.col("at") == F.col("stop"), F.col(c))).over(one)

@@ -4,9 +4,8 @@
    key and COORDINATES min-hashes. Documents of equal sets become one class with a count.
 2. A run draws a sequence of coordinates. At each node the sets are split by the token (min-hash) at the drawn
    coordinate, which two sets share with the probability of their similarity; every set goes down DEPTHS[0] levels,
-   and sets of a node that still holds more than SMALL go deeper, up to DEPTHS[-1]. RUNS repeats bring the recall of a
-   pair at the threshold beyond TARGET_RECALL: at depth 3 a run finds such a pair with 0.8^3, so 16 runs miss it
-   once in 100,000 times.
+   and sets of a node that still holds more than SMALL go deeper, up to DEPTHS[-1]. Runs repeat until a pair at the
+   threshold is found with TARGET_RECALL: at depth 3 a run finds it with 0.8^3, so 16 runs are made.
 3. Buckets (leaves) of all runs that share sets are merged to blocks, so that each set crosses the network once and no
    pair is compared twice. A block is searched by brute force with exact intersections: blocks beyond TILE sets are
    cut into tiles, and each pair of tiles is a task's work.
@@ -20,6 +19,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from tarn.llm.common import components, materialize
 from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_hashes
 
-SHINGLE, THRESHOLD, RUNS, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED = 5, 0.8, 16, (3, 5, 8), 64, 1024, 0.99999, 1234
-COORDINATES = RUNS * DEPTHS[0]
+SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED = 5, 0.8, (3, 5, 8), 64, 1024, 0.99998, 1234
+
+
+def runs_for(threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTHS[0]) -> int:
+    """Runs that find a pair at the threshold with the target recall, where one run finds it with threshold ** depth."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +201,9 @@ def _compare(size: int, threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, runs: int = RUNS, small: int = SMALL, tile: int = TILE) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """A row for each document: doc_id, class_id (smallest doc_id reachable by links), n_links, set_id (smallest doc_id of its set)."""
+    runs = runs_for(threshold, recall)
     text = F.coalesce("text", F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     # rows get numbers, so that repeated and null doc_ids are told apart

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ STEMS = (3, 4, 5, 6, 7, 8)
 TERM = re.compile(r"[^\W_]+")
 
 
-def terms_of(text: str | None) -> list[str]:
-    return TERM.findall((text or "").lower())
+def words_of(text: str | None) -> Counter:
+    """Lower-case words of a text and how often they occur."""
+    return Counter(TERM.findall((text or "").lower()))
 
 
 class Vocabulary(dict):
@@ -55,11 +57,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def choose_terms(examples: list[list[str]], label: np.ndarray) -> list[str]:
+def choose_terms(examples: Iterable[Counter], label: np.ndarray) -> list[str]:
     """Beginnings of words of which the share of documents differs between the labels by LEAST_Z standard errors; of nested ones the most telling."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in zip(examples, label.tolist(), strict=True):
-        counts[y].update({w[:n] for w in set(words) for n in STEMS if len(w) >= n})
+        counts[y].update({w[:n] for w in words for n in STEMS if len(w) >= n})
     n = np.bincount(label, minlength=2).astype(float)
     if not n.all():
         return []
@@ -138,13 +140,13 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    def __init__(self, vocabulary: list[str], df: dict[str, int], documents: int, examples: list[list[str]], ids: list, weight: np.ndarray, label: np.ndarray):
+    def __init__(self, vocabulary: list[str], df: dict[str, int], documents: int, examples: Iterable[Counter], ids: list, weight: np.ndarray, label: np.ndarray):
         self.terms = Vocabulary(vocabulary)
         self.idf = [math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in vocabulary]
         groups: dict[tuple, list] = {}
         keys = []
-        for terms, i, w, y in zip(examples, ids, weight.tolist(), label.tolist(), strict=True):
-            keys.append(key := self.key(terms))
+        for words, i, w, y in zip(examples, ids, weight.tolist(), label.tolist(), strict=True):
+            keys.append(key := self.key(words))
             g = groups.setdefault(key, [0.0, 0.0, 0, i])
             g[y] += w
             g[2] += 1
@@ -168,10 +170,13 @@ class ToxicityModel:
                 raw.append(r)
             self.line = fit_line(np.array(raw), label, weight)
 
-    def key(self, terms: list[str]) -> tuple:
+    def key(self, words: Counter) -> tuple:
         """The terms of the index in a text with their counts."""
-        known = self.terms
-        return tuple(sorted(Counter(i for t in terms for i in known[t]).items()))
+        known, found = self.terms, {}
+        for w, n in words.items():
+            for i in known[w]:
+                found[i] = found.get(i, 0) + n
+        return tuple(sorted(found.items()))
 
     def vector(self, key: tuple) -> dict[int, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in key}
@@ -218,7 +223,8 @@ def fit_line(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def _terms(batches):
     for b in batches:
-        yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([terms_of(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "toxic", "terms"])
+        words = [words_of(t) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "n"])
 
 
 def _frequencies(terms: list[str]):
@@ -230,12 +236,24 @@ def _frequencies(terms: list[str]):
             n += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
-                    seen.update({i for w in set(terms_of(t)) for i in known[w]})
+                    seen.update({i for w in words_of(t) for i in known[w]})
         yield pa.record_batch([pa.array(["", *(terms[i] for i in seen)]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
     return run
 
 
+class Examples:
+    """Word counts of a table's rows, made anew at each iteration: only the Arrow table is held."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __iter__(self):
+        for b in self.table.to_batches(max_chunksize=64):
+            for words, n in zip(b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True):
+                yield Counter(dict(zip(words, n, strict=True)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> ToxicityModel:
     """A model from rows of labels (doc_id, toxic) on documents; corpus counts are over all documents."""
     spark = docs.sparkSession
@@ -249,12 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
         asked = ids if asked is None else asked.unionByName(ids)
     if asked is None:
         return ToxicityModel([], {}, 0, [], [], np.zeros(0), np.zeros(0, int))
-    table = docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_terms, "doc_id long, toxic int, terms array<string>").toArrow()
+    table = docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_terms, "doc_id long, toxic int, words array<string>, n array<int>").toArrow()
     table = table.sort_by("doc_id")
     label = table["toxic"].to_numpy()
     of = np.bincount(label, minlength=2)
     weight = np.array([counts.get(y, 0) / max(1, of[y]) for y in (0, 1)])[label]
-    examples = table["terms"].to_pylist()
+    examples = Examples(table)
     vocabulary = choose_terms(examples, label)
     found = docs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r["term"]: r["n"] for r in found}
@@ -267,7 +285,7 @@ def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
-                key = model.key(terms_of(t)) if t else ()
+                key = model.key(words_of(t)) if t else ()
                 if (s := memo.get(key)) is None:
                     if len(memo) > 50_000:
                         memo.clear()

@@ -33,7 +33,7 @@ def test_stage_names_and_columns(steps):
 
 def test_toxicity_stage_follows_the_model(spark, steps):
     model = toxicity.fit(steps[0], toxicity.training_labels(spark.read.parquet(f"{SF}/labels.parquet")))
-    want = {r["doc_id"] for r in rows(steps[0]) if model.score(model.key(toxicity.terms_of(r["text"])))[0] < toxicity.THRESHOLD}
+    want = {r["doc_id"] for r in rows(steps[0]) if model.score(model.key(toxicity.words_of(r["text"])))[0] < toxicity.THRESHOLD}
     assert {r["doc_id"] for r in rows(steps[1])} == want
 
 
