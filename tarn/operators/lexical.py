@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import code_tokens
+from tarn.functions.text import TOKEN, code_tokens
 
 K1, B = 1.5, 0.75
 
@@ -39,7 +39,7 @@ def query_terms(spark, query: str) -> DataFrame:
 
 
 def _count(tokens: str, term: str):
-    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
+    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
 
 
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -51,11 +51,13 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     asked = {r["term"]: r["qn"] for r in query_terms(spark, query).collect()}
-    tokens = docs.select(key, code_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     if not asked:
-        return tokens.select(key, F.lit(0.0).alias("score")).where("false")
+        return docs.select(key, F.lit(0.0).alias("score")).where("false")
+    # lower case by way of one string, which unlike a lambda over the tokens is compiled
+    raw = docs.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
+    tokens = raw.select(key, F.size("raw").alias("dl"), F.split(F.lower(F.array_join("raw", " ")), " ").alias("t"))
     terms = sorted(asked)
-    counted = tokens.select(key, F.size("t").cast("long").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = tokens.select(key, F.col("dl").cast("long").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats), F.lit(True))  # stats: one row
     score = F.lit(0.0)
@@ -67,6 +69,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
 
 def bm25_topk(docs: DataFrame, query: str, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k best, ties by key; documents without a term fill up with score 0."""
-    scores = bm25_scores(docs, query, key, text).orderBy(F.round("score", 9).desc(), key).limit(k)
-    fill = docs.select(key, F.lit(0.0).alias("score")).join(scores.select(key), key, "left_anti").orderBy(key).limit(k)
-    return scores.unionByName(fill).orderBy(F.round("score", 9).desc(), key).limit(k)
+    best = bm25_scores(docs, query, key, text).orderBy(F.round("score", 9).desc(), key).limit(k)
+    # where less than k have a score, all of them are in best, so 2 k keys hold enough others
+    fill = docs.select(key).orderBy(key).limit(2 * k).select(key, F.lit(0.0).alias("score"))
+    return best.unionByName(fill).groupBy(key).agg(F.max("score").alias("score")).orderBy(F.round("score", 9).desc(), key).limit(k)
