@@ -1,11 +1,12 @@
 """Jaccard self-join of documents' word shingles by chosen paths.
 
 1. Each document's set of shingles (SHINGLE consecutive words, unchanged; all words of a shorter text) gets a 128-bit
-   key and COORDINATES min-hashes. Documents of equal sets become one class with a count.
-2. A run draws a sequence of coordinates. At each node the sets are split by the token (min-hash) at the drawn
-   coordinate, which two sets share with the probability of their similarity; every set goes down DEPTHS[0] levels,
-   and sets of a node that still holds more than SMALL go deeper, up to DEPTHS[-1]. Runs repeat until a pair at the
-   threshold is found with TARGET_RECALL: at depth 3 a run finds it with 0.8^3, so 16 runs are made.
+   key and a path for each run. Documents of equal sets become one class with a count.
+2. A run has coordinates of its own, as many as its depth. Sets are split by the token (min-hash) at each, which two
+   sets share with the probability of their similarity. Every set goes through the runs of depth DEPTHS[0]; sets that
+   were in a node of more than SMALL go through all runs of the next depth, up to DEPTHS[-1], where any node is taken.
+   Each depth has as many runs as find a pair at the threshold with its share of TARGET_RECALL: a pair is lost only if
+   all runs of one depth miss it, and the chances of that add up to 1 - TARGET_RECALL at most (17, 30 and 66 runs).
 3. Buckets (leaves) of all runs that share sets are merged to blocks, so that each set crosses the network once and no
    pair is compared twice. A block is searched by brute force with exact intersections: blocks beyond TILE sets are
    cut into tiles, and each pair of tiles is a task's work.
@@ -54,10 +55,15 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(text, np.arange(len(offsets)))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
+def level_runs(threshold: float, recall: float, depth: int) -> int:
+    """Runs of one depth: each depth may lose an equal part of what the recall leaves."""
+    return runs_for(threshold, 1 - (1 - recall) / len(DEPTHS), depth)
+
+
+def signatures(values: np.ndarray, offsets: np.ndarray, coordinates: int, seed: int = SEED) -> np.ndarray:
     """Min-hashes (rows of 32 bits) of sets that aren't empty."""
     out = np.empty((len(offsets) - 1, coordinates), np.uint32)
-    rng = np.random.default_rng(SEED)
+    rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
     adds = rng.integers(0, 1 << 63, coordinates, np.uint64)
     for k in range(coordinates):
@@ -67,7 +73,16 @@ def signatures(values: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.
     return out
 
 
-def _sign(size: int, coordinates: int):
+def run_paths(values: np.ndarray, offsets: np.ndarray, runs: int, depth: int) -> pa.ListArray:
+    """For each set that isn't empty, a hash of the run and its tokens for every run of a depth."""
+    tokens = signatures(values, offsets, runs * depth, SEED + depth)
+    paths = np.tile(scramble(np.arange(runs, dtype=np.uint64) + np.uint64(depth << 32)), (len(tokens), 1))
+    for k in range(depth):
+        paths = scramble(paths + tokens[:, k::depth])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, paths.size + 1, runs), pa.int32()), pa.array(paths.view(np.int64).ravel()))
+
+
+def _sign(size: int, runs: int):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
@@ -76,46 +91,56 @@ def _sign(size: int, coordinates: int):
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
                 keys = [None] * b.num_rows
-                sig = pa.nulls(b.num_rows, pa.list_(pa.int32()))
+                paths = pa.nulls(b.num_rows, pa.list_(pa.int64()))
                 if len(full):
                     begin = offsets[:-1][full]
                     ends = np.append(begin, offsets[-1])
-                    mins = signatures(values, ends, coordinates)
                     x = np.add.reduceat(scramble(values), begin)
                     y = np.add.reduceat(scramble(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
                     for k, p, q in zip(full.tolist(), x.tolist(), y.tolist(), strict=True):
                         keys[k] = p.to_bytes(8, "little") + q.to_bytes(8, "little")
-                    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, mins.size + 1, coordinates), pa.int32()), pa.array(mins.view(np.int32).ravel()))
                     at = np.full(b.num_rows, -1)
                     at[full] = np.arange(len(full))
-                    sig = rows.take(pa.array(at, mask=at < 0))
-                yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), pa.array(keys, pa.binary()), pa.array(n), sig], names=["doc_id", "th", "row", "set_key", "set_size", "sig"])
+                    paths = run_paths(values, ends, runs, DEPTHS[0]).take(pa.array(at, mask=at < 0))
+                yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), pa.array(keys, pa.binary()), pa.array(n), paths], names=["doc_id", "th", "row", "set_key", "set_size", "paths"])
 
     return run
 
 
-def run_coordinates(run: int, coordinates: int, depth: int) -> list[int]:
-    """The coordinates a run draws: its own slice first, then others at random."""
-    own = list(range(run * DEPTHS[0], (run + 1) * DEPTHS[0]))
-    rest = np.random.default_rng(SEED + run).permutation([c for c in range(coordinates) if c not in own])
-    return [*own, *rest.tolist()][:depth]
+def _deeper(size: int, runs: int, depth: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                b = batch.slice(i, 1000)
+                values, offsets = shingle_sets(b.column("text"), size)
+                yield pa.record_batch([b.column("id"), run_paths(values, offsets, runs, depth)], names=["id", "paths"])
+
+    return run
 
 
-def bucket_edges(classes: DataFrame, runs: int, small: int) -> DataFrame:
-    """(id, leader) of the sets that share a leaf with others, the leaf's least id leading."""
-    coordinates = runs * DEPTHS[0]
-    paths = [F.struct(F.lit(r).alias("run"), *[F.xxhash64(F.lit(r), F.lit(d), *[F.col("sig")[c] for c in run_coordinates(r, coordinates, d)]).alias(f"p{d}") for d in DEPTHS]) for r in range(runs)]
-    rows = classes.select("id", F.explode(F.array(*paths)).alias("p")).select("id", "p.*")
-    out = None
+def bucket_edges(classes: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float, small: int) -> DataFrame:
+    """(id, leader) of the sets that share a leaf with others, the leaf's least id leading. docs: doc_id, text, th."""
+    paths, texts, out = classes.select("id", "paths"), None, None
     for level, d in enumerate(DEPTHS):
         last = level == len(DEPTHS) - 1
-        leaf = rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
-        met = materialize(rows.join(leaf, f"p{d}").select("id", "leader", "n", *[f"p{x}" for x in DEPTHS[level + 1 :]]), f"paths{d}")
+        rows = paths.select("id", F.explode("paths").alias("path"))
+        leaf = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
+        met = materialize(rows.join(leaf, "path").select("id", "leader", "n"), f"paths{d}")
         here = met if last else met.where(F.col("n") <= small)
         edges = here.where("id != leader").select("id", "leader")
         out = edges if out is None else out.unionByName(edges)
-        rows = met.where(F.col("n") > small).drop("leader", "n")
-    return out
+        crowd = met.where(F.col("n") > small).select("id").distinct()
+        if last or crowd.isEmpty():
+            return out
+        if texts is None:
+            named = classes.join(crowd, "id").select("id", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+            texts = docs.join(named, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
+            texts = materialize(texts, "crowded")
+        else:
+            texts = texts.join(crowd, "id", "left_semi")
+        runs = level_runs(threshold, recall, DEPTHS[level + 1])
+        # rows that repeat a document bring its set again
+        paths = materialize(texts.mapInArrow(_deeper(size, runs, DEPTHS[level + 1]), "id long, paths array<long>").dropDuplicates(["id"]), "deeper")
 
 
 def intersections(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -203,15 +228,15 @@ def _compare(size: int, threshold: float):
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """A row for each document: doc_id, class_id (smallest doc_id reachable by links), n_links, set_id (smallest doc_id of its set)."""
-    runs = runs_for(threshold, recall)
+    runs = level_runs(threshold, recall, DEPTHS[0])
     text = F.coalesce("text", F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     # rows get numbers, so that repeated and null doc_ids are told apart
-    signed = materialize(x.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size, runs * DEPTHS[0]), "doc_id long, th long, row long, set_key binary, set_size long, sig array<int>"), "signed")
+    signed = materialize(x.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size, runs), "doc_id long, th long, row long, set_key binary, set_size long, paths array<long>"), "signed")
     keyed = signed.where("set_key IS NOT NULL")
     classes = keyed.groupBy("set_key").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    classes = materialize(classes.join(keyed.select(F.col("row").alias("id"), "doc_id", "th", "sig"), "id"), "classes")
-    blocks = components(bucket_edges(classes, runs, small))
+    classes = materialize(classes.join(keyed.select(F.col("row").alias("id"), "doc_id", "th", "paths"), "id"), "classes")
+    blocks = components(bucket_edges(classes, x, size, threshold, recall, small))
     blocks = materialize(blocks.withColumnRenamed("component", "block"), "blocks")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("of"))
     tiles = F.ceil(F.col("of") / tile).cast("int")

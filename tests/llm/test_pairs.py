@@ -67,6 +67,20 @@ def test_ngram_against_brute_force(spark):
         assert got == brute_jaccard(docs)
 
 
+def test_ngram_links_in_a_crowd(spark):
+    """Pairs just above the threshold that meet only in nodes of more than SMALL sets."""
+    rng = random.Random(2)
+    docs = []
+    for t in range(40):
+        shared, at = [f"t{t}-{i}" for i in range(95)], 100 * t
+        docs += [(at + i, [*shared, *(f"v{at + i}-{k}" for k in range(5))]) for i in range(90)]
+        docs.append((at + 90, [*rng.sample(shared, 89), *(f"x{t}-{k}" for k in range(11))]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ng.ngram_join(df, size=1).collect()}
+    # 89 shared words of 111 are 0.802, 95 of 105 are 0.905
+    assert got == {i: (i - i % 100, 90) for i, _ in docs}
+
+
 def test_ngram_odd_rows(spark, odd_docs, no_docs):
     got = ng.ngram_join(odd_docs).collect()
     assert len(got) == odd_docs.count()
