@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
 Fitting takes at most MOST_EXAMPLES labelled documents of each label (those of the least hashes), weighted back to
-the labels' true counts. Terms are beginnings of words (STEMS letters); those of the index are at most MOST_TERMS whose
-presence depends most on the label; their document frequencies are counted over the whole corpus. Examples of equal vectors are one exemplar with the sum of their
-votes. The index holds, for each term, postings by blocks of exemplars and the largest weight in each block: a block
+the labels' true counts. Terms are words and beginnings of words (STEMS letters); the index holds all that LEAST_DF
+examples have, whatever their label. A term weighs its TF-IDF, by document frequencies of the whole corpus, times how
+far its presence depends on the label (standard errors, LEAST_WEIGHT added). Examples of equal vectors are one
+exemplar with the sum of their votes. The index holds, for each term, postings by blocks of exemplars and the largest weight in each block: a block
 is scored only while the bound of its cosine exceeds that of the K-th vote, so the result is the exact one.
 
 Neighbours vote with their cosine; the share of the toxic votes, drawn towards the prior, is calibrated by a logistic
@@ -17,7 +18,10 @@ label don't count; equal cosines are ordered by exemplar, those of the last rank
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_EXAMPLES, LEAST_DF, LEAST_Z, MOST_TERMS, BLOCK, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 5.0, 300, 64, 40, 2.0, 0.3
+MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 16, 40, 2.0, 0.3
 STEMS = (3, 4, 5, 6, 7, 8)
 TERM = re.compile(r"[^\W_]+")
 
@@ -36,6 +40,11 @@ def words_of(text: str | None) -> Counter:
     return Counter(TERM.findall((text or "").lower()))
 
 
+def parts(word: str) -> dict[str, None]:
+    """The terms of a word: itself and its beginnings."""
+    return dict.fromkeys([*(word[:n] for n in STEMS if len(word) >= n), word])
+
+
 class Vocabulary(dict):
     """Word -> numbers of the terms that it begins with; words met are remembered, in bounded number."""
 
@@ -49,7 +58,7 @@ class Vocabulary(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 500_000:
             self.clear()
-        self[word] = found = tuple(i for n in STEMS if len(word) >= n and (i := self.terms.get(word[:n])) is not None)
+        self[word] = found = tuple(i for t in parts(word) if (i := self.terms.get(t)) is not None)
         return found
 
 
@@ -57,55 +66,73 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def choose_terms(examples: Iterable[Counter], label: np.ndarray) -> list[str]:
-    """Beginnings of words of which the share of documents differs between the labels by LEAST_Z standard errors; of nested ones the most telling."""
+def choose_terms(examples: Iterable[Counter], label: np.ndarray) -> dict[str, float]:
+    """Terms that LEAST_DF examples have, and the standard errors by which their share differs between the labels (LEAST_WEIGHT added)."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in zip(examples, label.tolist(), strict=True):
-        counts[y].update({w[:n] for w in words for n in STEMS if len(w) >= n})
+        counts[y].update({t for w in words for t in parts(w)})
     n = np.bincount(label, minlength=2).astype(float)
     if not n.all():
-        return []
-    scored = []
-    for t in counts[0].keys() | counts[1].keys():
+        return {}
+    out = {}
+    for t in sorted(counts[0].keys() | counts[1].keys()):
         a, b = counts[1][t], counts[0][t]
-        if a + b < LEAST_DF:
-            continue
-        p = (a + b) / n.sum()
-        z = abs(a / n[1] - b / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))
-        if z >= LEAST_Z:
-            scored.append((-round(z, 6), -len(t), t))
-    chosen: dict[str, None] = {}
-    within: set[str] = set()
-    for _, _, t in sorted(scored):
-        if len(chosen) == MOST_TERMS:
-            break
-        parts = [t[:k] for k in STEMS if k <= len(t)]
-        if t not in within and not any(x in chosen for x in parts):
-            chosen[t] = None
-            within.update(parts)
-    return list(chosen)
+        if a + b >= LEAST_DF:
+            p = (a + b) / n.sum()
+            out[t] = LEAST_WEIGHT + abs(a / n[1] - b / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))
+    return out
 
 
 class BlockMaxIndex:
-    """Postings by term and block, with the largest weight of each."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        self.n, self.block, self.blocks = len(vectors), block, max(1, -(-len(vectors) // block))
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in by_term]
-        self.weights = [np.array([w for _, w in p]) for p in by_term]
-        self.block_of = [ids // block for ids in self.ids]
-        self.most = np.zeros((terms, self.blocks))
-        for t, ids in enumerate(self.ids):
-            np.maximum.at(self.most[t], self.block_of[t], self.weights[t])
-
-    def nearest(self, query: dict[int, float], votes: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
+    """Postings by term and block, with the largest weight of each; terms of one in DENSE exemplars or more are columns of a matrix.
+
+    Vectors are dicts, or arrays of terms (ascending) and weights.
+    """
+
+    def __init__(self, vectors: list, terms: int, block: int = BLOCK):
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // block))
+        pairs = [self.arrays(v) for v in vectors]
+        term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int64)])
+        ids = np.repeat(np.arange(self.n), [len(t) for t, _ in pairs])
+        weights = np.concatenate([w for _, w in pairs] or [np.zeros(0)])
+        dense = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > max(self.n, block))
+        self.column = np.full(terms, -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        at = self.column[term]
+        self.matrix = np.zeros((len(dense), self.n))
+        self.matrix[at[at >= 0], ids[at >= 0]] = weights[at >= 0]
+        term, ids, weights = term[at < 0], ids[at < 0], weights[at < 0]
+        order = np.argsort(term, kind="stable")
+        self.ids, self.weights = ids[order], weights[order]
+        cell = term[order] * self.blocks + self.ids // block
+        self.at = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(terms * self.blocks, np.float32)
+        np.maximum.at(self.most, cell, np.nextafter(self.weights.astype(np.float32), np.float32(np.inf)))
+        self.most = self.most.reshape(terms, self.blocks)
+        self.edges = np.arange(0, max(self.n, 1), block)
+
+    @staticmethod
+    def arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(vector, dict):
+            terms = sorted(vector)
+            return np.array(terms, np.int64), np.array([vector[t] for t in terms], float)
+        return vector
+
+    def dense_sums(self, queries: list) -> np.ndarray:
+        """For each query, what the terms of the matrix add to the cosines of the exemplars."""
+        q = np.zeros((len(queries), len(self.matrix)))
+        for row, (terms, weights) in zip(q, map(self.arrays, queries), strict=True):
+            at = self.column[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return q @ self.matrix
+
+    def nearest(self, query, votes: np.ndarray, k: float, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exemplars, nearest first, until their votes reach k (with all ties of the last), and their cosines."""
-        terms = sorted(query)
-        bound = sum(query[t] * self.most[t] for t in terms) if terms else np.zeros(self.blocks)
+        terms, weights = self.arrays(query)
+        base = self.dense_sums([(terms, weights)])[0] if base is None else base
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        bound = weights @ self.most[terms] + (np.maximum.reduceat(base, self.edges) if self.n else 0)
         found, cosines, have, least = np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -118,12 +145,16 @@ class BlockMaxIndex:
                 if not len(now):
                     break
             at, size = at + size, size * 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            sums = np.zeros(self.n)
-            for t in terms:
-                take = chosen[self.block_of[t]]
-                sums[self.ids[t][take]] += query[t] * self.weights[t][take]
+            cell = terms[:, None] * self.blocks + now
+            first = self.at[cell].ravel()
+            n = self.at[cell + 1].ravel() - first
+            some = np.flatnonzero(n)
+            first, n = first[some], n[some]
+            posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = np.bincount(self.ids[posting], np.repeat(weights[some // len(now)], n) * self.weights[posting], self.n)
+            taken = np.zeros(self.blocks, bool)
+            taken[now] = True
+            sums = np.where(np.repeat(taken, np.diff(np.append(self.edges, self.n))), sums + base, 0)
             hit = np.flatnonzero(sums >= (least - 1e-12 if have >= k else 1e-12))
             if not len(hit):
                 continue
@@ -139,11 +170,25 @@ class BlockMaxIndex:
         return found, cosines
 
 
+_MODELS: dict = {}
+
+
+def _restored(uid: str, packed: bytes) -> ToxicityModel:
+    """A shipped model; a worker makes the index once, not for each task."""
+    if uid not in _MODELS:
+        _MODELS.clear()
+        model = ToxicityModel.__new__(ToxicityModel)
+        model.__dict__.update(pickle.loads(zlib.decompress(packed)))
+        model.make_index()
+        _MODELS[uid] = model
+    return _MODELS[uid]
+
+
 class ToxicityModel:
-    def __init__(self, vocabulary: list[str], df: dict[str, int], documents: int, examples: Iterable[Counter], ids: list, weight: np.ndarray, label: np.ndarray):
-        self.terms = Vocabulary(vocabulary)
-        self.idf = [math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in vocabulary]
-        groups: dict[tuple, list] = {}
+    def __init__(self, vocabulary: dict[str, float], df: dict[str, int], documents: int, examples: Iterable[Counter], ids: list, weight: np.ndarray, label: np.ndarray):
+        self.terms = Vocabulary(list(vocabulary))
+        self.idf = np.array([(math.log((1 + documents) / (1 + df.get(t, 0))) + 1) * z for t, z in vocabulary.items()])
+        groups: dict[bytes, list] = {}
         keys = []
         for words, i, w, y in zip(examples, ids, weight.tolist(), label.tolist(), strict=True):
             keys.append(key := self.key(words))
@@ -154,40 +199,51 @@ class ToxicityModel:
         self.votes = np.array([groups[k][2] for k in order], float)
         self.toxic, self.clean = np.array([groups[k][1] for k in order]), np.array([groups[k][0] for k in order])
         self.example = [groups[k][3] for k in order]
-        self.index = BlockMaxIndex([self.vector(k) for k in order], len(vocabulary))
+        self.uid, self.order = uuid.uuid4().hex, order
+        self.make_index()
         total = weight.sum()
         self.prior = float((weight * label).sum() / total) if total else 0.0
-        none = groups.get((), [0.0, 0.0, 0, None])
+        none = groups.get(b"", [0.0, 0.0, 0, None])
         self.none = (none[1] + PRIOR_VOTES * self.prior) / (none[0] + none[1] + PRIOR_VOTES) if total else 0.0
         self.line = (0.0, 1.0)
         if total:
             own = {k: i for i, k in enumerate(order)}
             memo: dict = {}
             raw = []
-            for k, w, y in zip(keys, weight.tolist(), label.tolist(), strict=True):
+            for i, (k, w, y) in enumerate(zip(keys, weight.tolist(), label.tolist(), strict=True)):
+                if i % 128 == 0:
+                    bases = self.dense_sums(keys[i : i + 128])
                 if (r := memo.get((k, y))) is None:
-                    r = memo[k, y] = self.raw(k, (own.get(k), w, y))[0]
+                    r = memo[k, y] = self.raw(k, (own.get(k), w, y), bases[i % 128])[0]
                 raw.append(r)
             self.line = fit_line(np.array(raw), label, weight)
 
-    def key(self, words: Counter) -> tuple:
-        """The terms of the index in a text with their counts."""
+    def make_index(self) -> None:
+        self.index = BlockMaxIndex([self.vector(k) for k in self.order], len(self.idf))
+
+    def __reduce__(self):
+        state = {k: v for k, v in self.__dict__.items() if k != "index"}
+        return _restored, (self.uid, zlib.compress(pickle.dumps(state), 1))
+
+    def key(self, words: Counter) -> bytes:
+        """The terms of the index in a text, ascending, and their counts (rows of 32 bits)."""
         known, found = self.terms, {}
         for w, n in words.items():
             for i in known[w]:
                 found[i] = found.get(i, 0) + n
-        return tuple(sorted(found.items()))
+        both = np.array([list(found), list(found.values())], np.int32)
+        return both[:, np.argsort(both[0])].tobytes()
 
-    def vector(self, key: tuple) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in key}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+    def vector(self, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+        terms, n = np.frombuffer(key, np.int32).reshape(2, -1).astype(np.int64)
+        v = (1 + np.log(n)) * self.idf[terms]
+        return terms, v / math.sqrt((v * v).sum())
 
-    def raw(self, key: tuple, without: tuple | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def raw(self, key: bytes, without: tuple | None = None, base: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of the toxic votes, the exemplars and their cosines. without: (exemplar, weight, label) of a vote that doesn't count."""
         if not key or not len(self.votes):
             return self.none, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines = self.index.nearest(self.vector(key), self.votes, K)
+        found, cosines = self.index.nearest(self.vector(key), self.votes, K, base)
         a, b = self.toxic[found].copy(), self.clean[found].copy()
         if without and without[0] is not None:
             (a if without[2] else b)[found == without[0]] -= without[1]
@@ -195,9 +251,13 @@ class ToxicityModel:
         scale = max(1e-9, (self.toxic.sum() + self.clean.sum()) / self.votes.sum())
         return float(((a * sure).sum() + PRIOR_VOTES * scale * self.prior) / (((a + b) * sure).sum() + PRIOR_VOTES * scale)), found, cosines
 
-    def score(self, key: tuple) -> tuple[float, str]:
+    def dense_sums(self, keys: list[bytes]) -> np.ndarray:
+        empty = np.zeros(0, np.int64), np.zeros(0)
+        return self.index.dense_sums([self.vector(k) if k else empty for k in keys])
+
+    def score(self, key: bytes, base: np.ndarray | None = None) -> tuple[float, str]:
         """Calibrated score, and the nearest examples as evidence (doc_id:cosine)."""
-        r, found, cosines = self.raw(key)
+        r, found, cosines = self.raw(key, None, base)
         r = min(max(r, 1e-6), 1 - 1e-6)
         x = self.line[0] + self.line[1] * math.log(r / (1 - r))
         s = 1 / (1 + math.exp(-x)) if self.prior else 0.0
@@ -230,14 +290,15 @@ def _terms(batches):
 def _frequencies(terms: list[str]):
     def run(batches):
         known = Vocabulary(terms)
-        seen: Counter = Counter()
+        seen = np.zeros(len(terms), np.int64)
         n = 0
         for b in batches:
             n += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
-                    seen.update({i for w in words_of(t) for i in known[w]})
-        yield pa.record_batch([pa.array(["", *(terms[i] for i in seen)]), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
+                    seen[np.array(list({i for w in words_of(t) for i in known[w]}), np.int64)] += 1
+        some = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(["", *(terms[i] for i in some)]), pa.array([n, *seen[some]], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -266,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
             ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         asked = ids if asked is None else asked.unionByName(ids)
     if asked is None:
-        return ToxicityModel([], {}, 0, [], [], np.zeros(0), np.zeros(0, int))
+        return ToxicityModel({}, {}, 0, [], [], np.zeros(0), np.zeros(0, int))
     table = docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_terms, "doc_id long, toxic int, words array<string>, n array<int>").toArrow()
     table = table.sort_by("doc_id")
     label = table["toxic"].to_numpy()
@@ -274,23 +335,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     weight = np.array([counts.get(y, 0) / max(1, of[y]) for y in (0, 1)])[label]
     examples = Examples(table)
     vocabulary = choose_terms(examples, label)
-    found = docs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r["term"]: r["n"] for r in found}
+    found = docs.select("text").mapInArrow(_frequencies(list(vocabulary)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
     return ToxicityModel(vocabulary, df, df.get("", 0), examples, table["doc_id"].to_pylist(), weight, label)
 
 
 def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
     def run(batches):
-        memo: dict = {}
         for b in batches:
             out = []
-            for t in b.column("text").to_pylist():
-                key = model.key(words_of(t)) if t else ()
-                if (s := memo.get(key)) is None:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    s = memo[key] = model.score(key)
-                out.append(s)
+            for i in range(0, b.num_rows, 128):
+                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 128).to_pylist()]
+                out += [model.score(k, base) for k, base in zip(keys, model.dense_sums(keys), strict=True)]
             scores = pa.array([s for s, _ in out], pa.float64())
             extra = [pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), scores, *extra], names=[*b.schema.names, *names])

@@ -186,6 +186,20 @@ def test_block_max_equals_brute_force():
         assert set(index.nearest(q, votes, 10)[0].tolist()) == want
 
 
+def test_toxicity_rare_insults_are_seen(spark):
+    """Words that under 1 % of the toxic documents hold, short ones too, have their part in the vectors."""
+    rng = random.Random(8)
+    text = lambda extra: " ".join([*(f"w{rng.randint(0, 300)}" for _ in range(40)), *extra])
+    insults = ["grubblix", "zq", "wonderfulness", *(f"vile{c}norg" for c in "abcdefgh")]
+    rows = [(i, text([])) for i in range(2000)] + [(2000 + i, text(["blorp"] if i >= 100 else [insults[i % 11]] * 3)) for i in range(1500)]
+    labels = [(i, int(i >= 2000)) for i, _ in rows]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert {*insults} <= {*model.terms.terms}
+    got = {w: model.score(model.key(toxicity.words_of(text([w] * 3))))[0] for w in insults}
+    assert min(got.values()) > model.score(model.key(toxicity.words_of(text([]))))[0], got
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     rng = random.Random(6)
     rows, labels = [], []
