@@ -319,6 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     """A model from rows of labels (doc_id, toxic) on documents; corpus counts are over all documents."""
     spark = docs.sparkSession
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r["toxic"]: r["n"] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = None
     for y, n in counts.items():

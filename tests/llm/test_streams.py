@@ -200,6 +200,12 @@ def test_toxicity_rare_insults_are_seen(spark):
     assert min(got.values()) > model.score(model.key(toxicity.words_of(text([]))))[0], got
 
 
+def test_toxicity_samples_labels_of_present_documents(spark):
+    docs = spark.createDataFrame([(i, "gamma beta" if i % 2 else "alpha beta") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6000)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, most=20).votes.sum() == 40
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     rng = random.Random(6)
     rows, labels = [], []
