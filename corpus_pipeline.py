@@ -37,10 +37,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    classes = ngram_join.ngram_join(docs)
-    dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone_id"), "left_anti").select(docs.columns)
+    """Of each group of near copies the document with the smallest doc_id stays; where texts share it, that of the least hash."""
+    x = materialize(ngram_join.ngram_join(docs, rows=True).where("component IS NOT NULL"), "classes")
+    kept = x.where("doc_id = class_id").groupBy("component").agg(F.min("th").alias("_kept"))
+    dropped = x.join(kept, "component").where("doc_id != class_id OR th != _kept").where("doc_id IS NOT NULL")
+    dropped = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(dropped, (F.col("doc_id") == F.col("_gone_id")) & (th == F.col("_gone_th")), "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

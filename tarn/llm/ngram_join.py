@@ -226,8 +226,11 @@ def _compare(size: int, threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """A row for each document: doc_id, class_id (smallest doc_id reachable by links), n_links, set_id (smallest doc_id of its set)."""
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL, small: int = SMALL, tile: int = TILE, rows: bool = False) -> DataFrame:
+    """A row for each document: doc_id, class_id (smallest doc_id reachable by links), n_links, set_id (smallest doc_id of its set).
+
+    rows: also th (xxhash64 of the text) and component (a number of the class, null where nothing is linked).
+    """
     runs = level_runs(threshold, recall, DEPTHS[0])
     text = F.coalesce("text", F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
@@ -251,10 +254,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     y = classes.select("set_key", "id", "copies", "least").join(links, "id", "left").join(parts, "id", "left")
     y = materialize(y.select("set_key", "copies", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("component")), "linked")
     smallest = y.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = y.where("copies > 1 OR links > 0").join(smallest, "component").select(F.col("set_key").alias("k"), "copies", "least", "links", "class_id")
-    z = signed.select("doc_id", "set_key").join(named, F.col("set_key") == F.col("k"), "left")
+    named = y.where("copies > 1 OR links > 0").join(smallest, "component").select(F.col("set_key").alias("k"), "copies", "least", "links", "class_id", "component")
+    z = signed.select("doc_id", "set_key", "th").join(named, F.col("set_key") == F.col("k"), "left")
     own = lambda c: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(c))
-    return z.select("doc_id", own("class_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("n_links"), own("least").alias("set_id"))
+    return z.select("doc_id", own("class_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("n_links"), own("least").alias("set_id"), *(["th", "component"] if rows else []))
 
 
 ORACLE_SQL = r"""

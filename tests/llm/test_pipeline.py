@@ -64,6 +64,13 @@ def test_near_stage(steps):
     assert {r["doc_id"] for r in rows(steps[3])} == {d for d in sets if find(d) == d}
 
 
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    docs = [(1, a), (1, a + " end"), (5, a + " tail"), (5, b)]
+    got = rows(cp.ngram_join_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF))
+    assert sorted(r["doc_id"] for r in got) == [1, 5] and (5, b) in {(r["doc_id"], r["text"]) for r in got}
+
+
 def test_mixing_stage_takes_what_the_plan_says(steps):
     from tarn.llm import mixing
 
