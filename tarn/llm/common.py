@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -51,6 +54,25 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@functools.cache
+def one_blas_thread() -> None:
+    """Matrix products of a worker on its task's one core: more threads than cores only wait for each other. No library found: no change."""
+    import numpy as np
+
+    np.ones(1) @ np.ones(1)
+    try:
+        with open("/proc/self/maps") as f:
+            found = sorted(set(re.findall(r"/\S*openblas\S*\.so\S*", f.read())))
+    except OSError:
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def _forest(batches):
     """Edges of one partition to a star for each of its components: (vertex, smallest vertex)."""
     parent: dict[int, int] = {}

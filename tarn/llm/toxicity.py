@@ -2,17 +2,21 @@
 
 Fitting takes at most MOST_EXAMPLES labelled documents of each label (those of the least hashes), weighted back to
 the labels' true counts. Terms are words and beginnings of words (STEMS letters); the index holds all that LEAST_DF
-examples have, whatever their label. A term weighs its TF-IDF, by document frequencies of the whole corpus, times how
-far its presence depends on the label (standard errors, LEAST_WEIGHT added). Examples of equal vectors are one
-exemplar with the sum of their votes. The index holds, for each term, postings by blocks of exemplars and the largest weight in each block: a block
-is scored only while the bound of its cosine exceeds that of the K-th vote, so the result is the exact one.
+examples have, whatever their label, and every word of a text is looked up. A term weighs its TF-IDF, by document
+frequencies of the whole corpus, times how far its presence depends on the label (standard errors, LEAST_WEIGHT
+added). Examples of equal vectors are one exemplar with the sum of their votes. The index holds, for each term,
+postings by blocks of exemplars and the largest weight in each block: a block is scored only while the
+bound of its cosine exceeds that of the K-th vote, so the result is the exact one. Postings lie by term and block, and
+similar exemplars share blocks, so those of blocks that are ruled out are not read.
 
 Neighbours vote with their cosine; the share of the toxic votes, drawn towards the prior, is calibrated by a logistic
 curve fitted on the examples, each scored without its own vote.
 
 Defined cases: null and empty texts, and texts without a term of the index, get the calibrated rate of the examples
-without terms; without any labelled row all scores are 0; repeated doc_ids are rows of their own; rows with a null
-label don't count; equal cosines are ordered by exemplar, those of the last rank all vote; other columns are ignored.
+without terms; a labelled example that is scored finds itself among its neighbours (only the calibration leaves its
+vote out), rows that may not be learned from never do; without any labelled row all scores are 0; repeated doc_ids are
+rows of their own; rows with a null label don't count; equal cosines are ordered by exemplar, those of the last rank
+all vote; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pickle
 import re
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -30,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 16, 40, 2.0, 0.3
-STEMS = (3, 4, 5, 6, 7, 8)
+from tarn.llm.common import one_blas_thread
+
+MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, FIRST, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 4, 16, 40, 2.0, 0.3
+STEMS, MOST_WORDS = (4, 6), 400_000
 TERM = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None) -> Counter:
-    """Lower-case words of a text and how often they occur."""
-    return Counter(TERM.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of a text, as often as they occur."""
+    return TERM.findall((text or "").lower())
 
 
 def parts(word: str) -> dict[str, None]:
@@ -45,21 +52,62 @@ def parts(word: str) -> dict[str, None]:
     return dict.fromkeys([*(word[:n] for n in STEMS if len(word) >= n), word])
 
 
-class Vocabulary(dict):
-    """Word -> numbers of the terms that it begins with; words met are remembered, in bounded number."""
+class Codes(dict):
+    """Word -> its number among the words met; ``flat[at[i]:at[i + 1]]`` are the terms of word i."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: dict[str, int]):
         super().__init__()
+        self.terms, self.flat, self.at = terms, array("i"), array("i", [0])
+
+    def __missing__(self, word: str) -> int:
+        get, flat = self.terms.get, self.flat
+        for n in STEMS:
+            if len(word) > n and (i := get(word[:n])) is not None:
+                flat.append(i)
+        if (i := get(word)) is not None:
+            flat.append(i)
+        self.at.append(len(flat))
+        self[word] = n = len(self)
+        return n
+
+
+class Vocabulary:
+    """The terms of an index by number. Words met are remembered, at most MOST_WORDS at a time."""
+
+    def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
+        self.codes = Codes(self.terms)
+        self.last = np.zeros(len(terms), np.int64)
 
     def __reduce__(self):
         return Vocabulary, (list(self.terms),)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = tuple(i for t in parts(word) if (i := self.terms.get(t)) is not None)
-        return found
+    def numbered(self, words) -> list[int]:
+        if len(self.codes) > MOST_WORDS:
+            self.codes = Codes(self.terms)
+        return list(map(self.codes.__getitem__, words))
+
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of each word in a row, and how many each has."""
+        at, flat = np.frombuffer(self.codes.at, np.int32), np.frombuffer(self.codes.flat, np.int32)
+        begin, size = at[code].astype(np.int64), (at[code + 1] - at[code]).astype(np.int64)
+        return flat[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+    def present(self, words: list[str]) -> np.ndarray:
+        """The terms in a text's words, each once."""
+        term, _ = self.of(np.array(self.numbered(set(words)), np.int64))
+        self.last[term] = np.arange(len(term))
+        return term[self.last[term] == np.arange(len(term))]
+
+    def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms in a text's words, ascending, and how often they occur."""
+        code, n = np.unique(np.array(self.numbered(words), np.int64), return_counts=True)
+        term, size = self.of(code)
+        n = np.repeat(n, size)
+        order = np.argsort(term, kind="stable")
+        term, n = term[order], n[order]
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        return term[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -90,7 +138,7 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list, terms: int, block: int = BLOCK):
-        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // block))
+        self.n, self.block, self.blocks = len(vectors), block, max(1, -(-len(vectors) // block))
         pairs = [self.arrays(v) for v in vectors]
         term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int64)])
         ids = np.repeat(np.arange(self.n), [len(t) for t, _ in pairs])
@@ -132,30 +180,29 @@ class BlockMaxIndex:
         base = self.dense_sums([(terms, weights)])[0] if base is None else base
         rare = self.column[terms] < 0
         terms, weights = terms[rare], weights[rare]
-        bound = weights @ self.most[terms] + (np.maximum.reduceat(base, self.edges) if self.n else 0)
+        bound = (weights[:, None] * self.most[terms]).sum(0) + (np.maximum.reduceat(base, self.edges) if self.n else 0)
         found, cosines, have, least = np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at, size = 0, 4
-        while at < len(order):
-            # blocks in falling order of their bounds, ever more at a time
-            now = order[at : at + size]
+        # first the blocks of the highest bounds, then all that the K-th vote doesn't rule out
+        for now in (order[:FIRST], order[FIRST:]):
             if have >= k:
                 now = now[bound[now] >= least - 1e-12]
-                if not len(now):
-                    break
-            at, size = at + size, size * 4
-            cell = terms[:, None] * self.blocks + now
-            first = self.at[cell].ravel()
-            n = self.at[cell + 1].ravel() - first
-            some = np.flatnonzero(n)
-            first, n = first[some], n[some]
+            if not len(now):
+                break
+            now = np.sort(now)
+            # a term's postings lie by block: those of blocks in a row are read together
+            cut = np.flatnonzero(np.diff(now) > 3)
+            low, high = now[np.append(0, cut + 1)], now[np.append(cut, len(now) - 1)] + 1
+            cell = terms[:, None] * self.blocks
+            first = self.at[cell + low].ravel()
+            n = self.at[cell + high].ravel() - first
             posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sums = np.bincount(self.ids[posting], np.repeat(weights[some // len(now)], n) * self.weights[posting], self.n)
-            taken = np.zeros(self.blocks, bool)
-            taken[now] = True
-            sums = np.where(np.repeat(taken, np.diff(np.append(self.edges, self.n))), sums + base, 0)
-            hit = np.flatnonzero(sums >= (least - 1e-12 if have >= k else 1e-12))
+            w = np.repeat(np.repeat(weights, len(low)), n)
+            sums = np.bincount(self.ids[posting], w * self.weights[posting], self.n) + base
+            rows = (now[:, None] * self.block + np.arange(self.block)).ravel()
+            rows = rows[: np.searchsorted(rows, self.n)]
+            hit = rows[sums[rows] >= (least - 1e-12 if have >= k else 1e-12)]
             if not len(hit):
                 continue
             found, cosines = np.append(found, hit), np.append(cosines, sums[hit])
@@ -170,6 +217,23 @@ class BlockMaxIndex:
         return found, cosines
 
 
+def alike_together(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, dims: int = 64) -> np.ndarray:
+    """An order that puts similar vectors into one block, so that most blocks are ruled out: halves along the main axis of a random projection."""
+    signs = np.random.default_rng(0).choice([-1.0, 1.0], (terms, dims))
+    x = np.array([w @ signs[t] for t, w in vectors]).reshape(len(vectors), dims)
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        y = x[rows] - x[rows].mean(0)
+        rows = rows[np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")]
+        half = -(-len(rows) // (2 * block)) * block
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 _MODELS: dict = {}
 
 
@@ -191,11 +255,12 @@ class ToxicityModel:
         groups: dict[bytes, list] = {}
         keys = []
         for words, i, w, y in zip(examples, ids, weight.tolist(), label.tolist(), strict=True):
-            keys.append(key := self.key(words))
+            keys.append(key := self.key(list(words.elements())))
             g = groups.setdefault(key, [0.0, 0.0, 0, i])
             g[y] += w
             g[2] += 1
         order = sorted(k for k in groups if k)
+        order = [order[i] for i in alike_together([self.vector(k) for k in order], len(self.idf))]
         self.votes = np.array([groups[k][2] for k in order], float)
         self.toxic, self.clean = np.array([groups[k][1] for k in order]), np.array([groups[k][0] for k in order])
         self.example = [groups[k][3] for k in order]
@@ -225,14 +290,9 @@ class ToxicityModel:
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
         return _restored, (self.uid, zlib.compress(pickle.dumps(state), 1))
 
-    def key(self, words: Counter) -> bytes:
+    def key(self, words: list[str]) -> bytes:
         """The terms of the index in a text, ascending, and their counts (rows of 32 bits)."""
-        known, found = self.terms, {}
-        for w, n in words.items():
-            for i in known[w]:
-                found[i] = found.get(i, 0) + n
-        both = np.array([list(found), list(found.values())], np.int32)
-        return both[:, np.argsort(both[0])].tobytes()
+        return np.array(self.terms.counts(words), np.int32).tobytes()
 
     def vector(self, key: bytes) -> tuple[np.ndarray, np.ndarray]:
         terms, n = np.frombuffer(key, np.int32).reshape(2, -1).astype(np.int64)
@@ -283,7 +343,7 @@ def fit_line(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def _terms(batches):
     for b in batches:
-        words = [words_of(t) for t in b.column("text").to_pylist()]
+        words = [Counter(words_of(t)) for t in b.column("text").to_pylist()]
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "n"])
 
 
@@ -296,7 +356,7 @@ def _frequencies(terms: list[str]):
             n += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
-                    seen[np.array(list({i for w in words_of(t) for i in known[w]}), np.int64)] += 1
+                    seen[known.present(words_of(t))] += 1
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(["", *(terms[i] for i in some)]), pa.array([n, *seen[some]], pa.int64())], names=["term", "n"])
 
@@ -343,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
 
 def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
     def run(batches):
+        one_blas_thread()
         for b in batches:
             out = []
             for i in range(0, b.num_rows, 128):
