@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tarn.llm.common import SPACE, WORD, materialize
+from tarn.llm.common import SPACE, WORD, materialize, spread_join
 from tarn.session import table
 
 
@@ -25,10 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     keys = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), exact_dedup.text_key().alias("key")), "keys")
-    buckets = max(64, 1 << (max(1, keys.count()) // exact_dedup.BUCKET_KEYS).bit_length())
-    groups = exact_dedup.exact_groups(keys, buckets).where("group_size > 1").select(F.col("key").alias("_gone_key"), "keep_id")
-    dropped = keys.join(groups, F.col("key") == F.col("_gone_key")).where(~F.col("keep_id").eqNullSafe(F.col("doc_id")))
-    dropped = dropped.select(F.col("key").alias("_gone_key"), F.col("doc_id").alias("_gone_id")).distinct()
+    groups = exact_dedup.exact_groups(keys, exact_dedup.buckets_for(keys.count())).where("group_size > 1").select(F.col("key").alias("_gone_key"), "keep_id")
+    dropped = spread_join(keys, groups, "key", "_gone_key", "doc_id").where(~F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    dropped = dropped.select("_gone_key", F.col("doc_id").alias("_gone_id")).distinct()
     x = docs.withColumn("_key", exact_dedup.text_key())
     x = x.join(dropped, (F.col("_key") == F.col("_gone_key")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
     if keys.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):

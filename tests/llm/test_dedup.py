@@ -16,11 +16,13 @@ def test_cuckoo_filter_inserts_deletes_and_resizes():
     assert b.resizes > 0 and all(b.get(k) == [i, 1] for i, k in enumerate(keys))
     other = [hashlib.sha256(f"o{i}".encode()).digest() for i in range(5000)]
     assert not any(b.get(k) for k in other)
-    for i, k in enumerate(keys[:2500]):
-        assert b.remove(k, i)
+    for k in keys[:2500]:
+        assert b.remove(k)
     assert not any(k in b.content for k in keys[:2500]) and all(b.get(k) for k in keys[2500:])
     assert sum(k in b.filter for k in keys[:2500]) < 50
-    assert not b.remove(keys[0], 0)
+    assert not b.remove(keys[0])
+    again = ex.Bucket(dict(b.content), b.filter.places, b.filter.table.tobytes())
+    assert all(again.get(k) for k in keys[2500:]) and again.filter.used == b.filter.used == 2500
 
 
 def brute_exact(rows):
@@ -39,15 +41,57 @@ def test_exact_odd_rows(spark, odd_docs, no_docs):
     assert ex.exact_dedup(no_docs).count() == 0
 
 
+CHANGES = "op string, doc_id long, seq long, text string"
+
+
 def test_index_updates(spark):
-    schema = "op string, doc_id long, seq long, text string"
-    empty = spark.createDataFrame([], ex.INDEX_SCHEMA)
-    one = ex.update_index(empty, spark.createDataFrame([("insert", i, i, f"t{i % 5}") for i in range(20)], schema), 4)
-    state = spark.createDataFrame(one.collect(), ex.INDEX_SCHEMA)
-    two = ex.update_index(state, spark.createDataFrame([("delete", i, i, f"t{i % 5}") for i in range(0, 20, 5)] + [("delete", 1, 99, "t1")], schema), 4).collect()
-    keys = {bytes(c["key"]): (c["keep_id"], c["n"]) for r in two for c in r["content"]}
-    of = lambda t: keys.get(hashlib.sha256(t.encode()).digest())
-    assert of("t0") is None and of("t1") == (None, 3) and of("t2") == (2, 4) and len(keys) == 4
+    """Random insertions and deletions, in several rounds, against a plain multiset."""
+    rng = random.Random(7)
+    index, live = spark.createDataFrame([], ex.INDEX_SCHEMA), spark.createDataFrame([], ex.LIVE_SCHEMA)
+    want: dict[str, list] = {}
+    for step in range(3):
+        log = []
+        for seq in range(300):
+            op, doc, text = rng.choice(["insert", "insert", "delete"]), rng.choice([*range(30), None]), rng.choice([f"t{i}" for i in range(40 * (step + 1))] + [None, "a  b", "a\tb"])
+            log.append((op, doc, seq, text))
+            ids = want.setdefault(re.sub(SPACE, " ", text or ""), [])
+            if op == "insert":
+                ids.append(doc)
+            elif doc in ids:
+                ids.remove(doc)
+        index, live = ex.update_index(index, live, spark.createDataFrame(log, CHANGES), bucket_keys=1 if step == 1 else 50_000)
+        rows = index.collect()
+        index, live = spark.createDataFrame(rows, ex.INDEX_SCHEMA), spark.createDataFrame(live.collect(), ex.LIVE_SCHEMA)
+        got = {bytes(c["key"]): (c["keep_id"], c["n"]) for r in rows for c in r["content"]}
+        least = lambda ids: min((i for i in ids if i is not None), default=None)
+        assert got == {hashlib.sha256(t.encode()).digest(): (least(v), len(v)) for t, v in want.items() if v}
+        for r in rows:
+            b = ex.Bucket({bytes(c["key"]): [c["keep_id"], c["n"]] for c in r["content"]}, r["places"], bytes(r["fingerprints"]))
+            assert all(b.get(bytes(c["key"])) for c in r["content"]) and b.filter.used == len(r["content"])
+    assert len({r["buckets"] for r in rows}) == 1 and rows[0]["buckets"] > 64
+
+
+def test_keeper_is_promoted_and_unknown_rows_are_refused(spark):
+    def after(index, live, *log):
+        index, live = ex.update_index(index, live, spark.createDataFrame([(op, d, i, "x") for i, (op, d) in enumerate(log)], CHANGES))
+        index, live = spark.createDataFrame(index.collect(), ex.INDEX_SCHEMA), spark.createDataFrame(live.collect(), ex.LIVE_SCHEMA)
+        return index, live, [(c["keep_id"], c["n"]) for r in index.collect() for c in r["content"]]
+
+    index, live, got = after(spark.createDataFrame([], ex.INDEX_SCHEMA), spark.createDataFrame([], ex.LIVE_SCHEMA), ("insert", 1), ("insert", 2), ("insert", 3))
+    assert got == [(1, 3)]
+    index, live, got = after(index, live, ("delete", 1), ("delete", 777))
+    assert got == [(2, 2)]
+    index, live, got = after(index, live, ("insert", 9))
+    assert got == [(2, 3)]
+    # a bucket overflows while it holds stored keys
+    many = spark.createDataFrame([("insert", i, i, f"n{i}") for i in range(30_000)], CHANGES)
+    index, live = ex.update_index(index, live, many)
+    rows = index.collect()
+    assert sum(len(r["content"]) for r in rows) == 30_001 and max(r["places"] for r in rows) > 64
+    index, live, got = after(spark.createDataFrame(rows, ex.INDEX_SCHEMA), live, ("delete", 2), ("delete", 3), ("delete", 9))
+    assert len(got) == 30_000
+    same, _ = ex.update_index(index, live, spark.createDataFrame([], CHANGES))
+    assert sum(len(r["content"]) for r in same.collect()) == 30_000
 
 
 def brute_windows(docs, window=20):
