@@ -6,12 +6,14 @@ shard, beginning at a seeded block of the shard's documents in seeded order, rou
 
 Both apportionments give the result of handing out seats one by one to the highest quotient votes / (2 seats + 1).
 They start from the seats that a divisor slightly too large gives, so that only about as many seats as there are
-units are ranked, and no row exists for a block.
+units are ranked, and no row exists for a block. Totals are aggregates; the ranking is a range partitioning by
+quotient whose ranks are counted on from the partitions before, so the shards of one source never meet in one task.
 
 Defined cases: null and empty texts have size 0 and take nothing; a null source is a source of its own, last in order; documents
-of one doc_id are rows of their own; an empty table gives an empty result; a source whose size is 0 has target 0;
-block size is 1/200 of the smallest target, at least 1 and at most 1024 words, so that small sources come near
-their targets too. Only the source table (a row for each source) meets in one task. Other columns are ignored.
+of one doc_id are rows of their own; rows without doc_id are dealt by a hash of their text; an empty table gives an
+empty result; a source whose size is 0 has target 0; block size is 1/200 of the smallest target, at least 1 and at
+most 1024 words, so that small sources come near their targets too. The table of sources (a row for each source) meets
+in one task, and a shard's documents (about SHARD_WORDS words) do. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD, materialize
+from tarn.llm.common import WORD, materialize, spread_join
 
 WEIGHTS, MOST_EPOCHS, SHARD_WORDS, SEED = (1, 2, 3), 3, 1 << 18, 17
 
@@ -28,19 +30,28 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
-    """Adds ``quota``: the whole seats of each unit within its group. Ties go to the first in order."""
-    of, n, share = Window.partitionBy(*group), F.col("_n"), F.col(votes).cast("double")
-    x = units.withColumns({"_v": F.sum(share).over(of), "_n": F.count(F.lit(1)).over(of)})
-    divisor = F.col("_v") / (F.col(seats) - n / 2)
-    base = F.when((F.col(seats) > n / 2) & (F.col("_v") > 0), F.greatest(F.lit(0).cast("long"), F.floor(share / divisor + 0.5) - 1)).otherwise(F.lit(0).cast("long"))
-    x = x.withColumn("_base", base).withColumn("_left", F.col(seats) - F.sum("_base").over(of))
-    tries = F.when(share > 0, F.sequence(F.lit(0).cast("long"), F.ceil(n * share / F.col("_v")) + 3)).otherwise(F.array().cast("array<bigint>"))
-    asked = x.select(*group, *order, "_base", "_left", share.alias("_share"), F.explode(tries).alias("_j"))
+def apportion(units: DataFrame, group: str, votes: str, seats: str, unit: str) -> DataFrame:
+    """Adds ``quota``: the whole seats of each unit within its group. Ties go to the first by ``unit``."""
+    share, zero = F.col(votes).cast("double"), F.lit(0).cast("long")
+    totals = units.groupBy(F.col(group).alias("_g")).agg(F.sum(share).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    x = spread_join(units, totals, group, "_g", unit).drop("_g")
+    divisor = F.col("_v") / (F.col(seats) - F.col("_n") / 2)
+    base = F.when((F.col(seats) > F.col("_n") / 2) & (F.col("_v") > 0), F.greatest(zero, F.floor(share / divisor + 0.5) - 1)).otherwise(zero)
+    x = materialize(x.withColumn("_base", base), "units")
+    left = x.groupBy(F.col(group).alias("_g")).agg((F.first(seats) - F.sum("_base")).alias("_left"))
+    tries = F.when(share > 0, F.sequence(zero, F.ceil(F.col("_n") * share / F.col("_v")) + 3)).otherwise(F.array().cast("array<bigint>"))
+    asked = x.select(group, unit, "_base", share.alias("_share"), F.explode(tries).alias("_j"))
     asked = asked.withColumn("_q", F.col("_share") / (2 * (F.col("_base") + F.col("_j")) + 1))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_q"), *order))
-    won = asked.withColumn("_rank", rank).where("_rank <= _left").groupBy(*group, *order).agg(F.count(F.lit(1)).alias("_more"))
-    return x.join(won, [*group, *order], "left").withColumn("quota", F.col("_base") + F.coalesce("_more", F.lit(0).cast("long"))).drop("_v", "_n", "_base", "_left", "_more")
+    # a group's quotients lie in falling order over partitions; its ranks go on where the partition before ends
+    ranged = materialize(asked.repartitionByRange(group, F.desc("_q"), unit).select(group, unit, "_q", F.spark_partition_id().alias("_part")), "quotients")
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), zero)).join(left, "_g").where("_before < _left")
+    rank = F.row_number().over(Window.partitionBy(group, "_part").orderBy(F.desc("_q"), unit))
+    won = ranged.join(parts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p"))).withColumn("_rank", F.col("_before") + rank)
+    won = won.where("_rank <= _left").groupBy(F.col(group).alias("_g"), F.col(unit).alias("_u")).agg(F.count(F.lit(1)).alias("_more"))
+    y = x.join(won, (F.col(group) == F.col("_g")) & (F.col(unit) == F.col("_u")), "left")
+    return y.withColumn("quota", F.col("_base") + F.coalesce("_more", zero)).drop("_v", "_n", "_base", "_g", "_u", "_more")
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -67,18 +78,19 @@ def source_targets(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, carry: list[str] | None = None) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken; and the columns named by ``carry``."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = materialize(docs.select(F.col("doc_id"), key.alias("skey"), word_count().alias("size"), *(carry or [])), "sizes")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    sized = materialize(docs.select(F.col("doc_id"), key.alias("skey"), word_count().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), named)).alias("h"), *(carry or [])), "sizes")
     one = Window.partitionBy(F.lit(0))
     block = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(one) / 200))).cast("long")
     sources = source_targets(sized).withColumn("block", F.coalesce(block, F.lit(1).cast("long")))
-    sources = sources.withColumns({"seats": (F.col("total") / F.col("block")).cast("long"), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"), "_g": F.lit(0)})
-    sources = apportion(sources, ["_g"], "target", "seats", ["rank"]).select("skey", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota"))
+    sources = sources.withColumns({"seats": (F.col("total") / F.col("block")).cast("long"), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")})
+    sources = apportion(sources.withColumn("_all", F.lit(0)), "_all", "target", "seats", "rank").select("skey", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota"))
     sources = materialize(sources, "sources")
-    hash_ = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
-    dealt = sized.withColumn("h", hash_).join(sources, "skey").withColumn("shard", number(F.col("h")) % F.col("shards"))
+    named = sources.withColumnRenamed("skey", "_s")
+    dealt = spread_join(sized, named, "skey", "_s", "h").drop("_s").withColumn("shard", number(F.col("h")) % F.col("shards"))
     cells = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("cell"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
-    cells = apportion(cells, ["skey"], "cell", "source_quota", ["shard"])
+    cells = apportion(cells, "skey", "cell", "source_quota", "shard")
     first = number(F.md5(F.concat(F.lit(f"{seed}:"), "skey", F.lit(":"), F.col("shard").cast("string"))))
     cells = cells.withColumn("words", F.least(F.col("quota") * F.col("block"), F.col("cell") * MOST_EPOCHS)).where("cell > 0").select(
         "skey", "shard", "cell", F.expr("words div cell").alias("full"), F.expr("words % cell").alias("rest"),
