@@ -1,15 +1,19 @@
 """Jaccard self-join of documents' word shingles by chosen paths.
 
 1. Each document's set of shingles (SHINGLE consecutive words, unchanged; all words of a shorter text) gets a 128-bit
-   key and a path for each run. Documents of equal sets become one class with a count.
-2. A run has coordinates of its own, as many as its depth. Sets are split by the token (min-hash) at each, which two
-   sets share with the probability of their similarity. Every set goes through the runs of depth DEPTHS[0]; sets that
-   were in a node of more than SMALL go through all runs of the next depth, up to DEPTHS[-1], where any node is taken.
-   Each depth has as many runs as find a pair at the threshold with its share of TARGET_RECALL: a pair is lost only if
-   all runs of one depth miss it, and the chances of that add up to 1 - TARGET_RECALL at most (17, 30 and 66 runs).
-3. Buckets (leaves) of all runs that share sets are merged to blocks, so that each set crosses the network once and no
-   pair is compared twice. A block is searched by brute force with exact intersections: blocks beyond TILE sets are
-   cut into tiles, and each pair of tiles is a task's work.
+   key, paths, and a sketch (the least hash in each of BINS slices, a byte each). Documents of equal sets become one
+   class with a count.
+2. A run splits all sets by sampled shared tokens (min-hashes, which two sets share with the probability of their
+   similarity). A node of at most SMALL sets is a bucket and is split no further; sets that were in a larger node go
+   through the runs of the next depth in DEPTHS, up to the last, where a node of any size is a bucket. Each depth has
+   coordinates of its own and as many runs as find a pair at the threshold with its share of TARGET_RECALL: a pair is
+   lost only if all runs of one depth miss it, and the chances of that add up to 1 - TARGET_RECALL at most (8, 13, 18,
+   32 and 68 runs).
+3. A small bucket is searched by brute force on the sketches: pairs whose estimate is six standard deviations or more
+   below the threshold are no candidates (one true pair in 10^9). Candidates of all runs are merged to blocks, so that
+   each text crosses the network once and no pair is compared twice; sets that only share a bucket don't join blocks.
+   Within a block all pairs are compared with exact intersections: blocks beyond TILE sets are cut into tiles, and each
+   pair of tiles is a task's work.
 4. A tile pair returns the link counts of its sets and a spanning forest of its links, never the pairs.
 
 Defined cases: null and empty texts have no shingles and link with nothing; a link joins documents whose Jaccard
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, materialize
+from tarn.llm.common import components, materialize, one_blas_thread, sorted_groups, spread_join
 from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_hashes
 
-SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED = 5, 0.8, (3, 5, 8), 64, 1024, 0.99998, 1234
+SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED, BINS = 5, 0.8, (1, 2, 3, 5, 8), 64, 1024, 0.99998, 1234, 128
+#: Depths whose paths are made with the first look at a text; those of the others only for sets that get there.
+EARLY = 3
 
 
 def runs_for(threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTHS[0]) -> int:
@@ -82,7 +88,72 @@ def run_paths(values: np.ndarray, offsets: np.ndarray, runs: int, depth: int) ->
     return pa.ListArray.from_arrays(pa.array(np.arange(0, paths.size + 1, runs), pa.int32()), pa.array(paths.view(np.int64).ravel()))
 
 
-def _sign(size: int, runs: int):
+def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The least hash of each slice of the hash space as a byte (0: the slice is empty). values: ascending within each set."""
+    out = np.zeros((len(offsets) - 1, BINS), np.uint8)
+    text = np.repeat(np.arange(len(out)), np.diff(offsets))
+    slice_ = (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(values), bool)
+    first[1:] = (slice_[1:] != slice_[:-1]) | (text[1:] != text[:-1])
+    out[text[first], slice_[first]] = np.maximum(1, (values[first] >> np.uint64(40)) & np.uint64(0xFF))
+    return out
+
+
+def least_estimate(threshold: float) -> float:
+    """Estimates of pairs at the threshold fall below this once in 10^9 times."""
+    return max(0.0, threshold - 6 * math.sqrt(threshold * (1 - threshold) / BINS))
+
+
+def bucket_candidates(ids: np.ndarray, begin: np.ndarray, marks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the pairs of candidates connect. begin: for each row, where its bucket begins."""
+    before = np.arange(len(ids)) - begin
+    some = [np.zeros((2, 0), np.int64)]
+    ends = np.searchsorted(np.cumsum(before), np.arange(100_000, max(1, before.sum()) + 100_000, 100_000), "right")
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        n = before[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = begin[i] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = marks[i], marks[j]
+        union = ((x | y) != 0).sum(1)
+        good = ((x == y) & (x != 0)).sum(1) >= least * union
+        some.append(np.stack([i[good], j[good]]))
+    i, j = np.concatenate(some, 1)
+    # a bucket's sets that are like its first one need no edges among themselves
+    star = np.zeros(len(ids), bool)
+    star[i[j == begin[i]]] = True
+    star[begin] = True
+    keep = (j == begin[i]) | ~(star[i] & star[j])
+    return ids[i[keep]], ids[j[keep]]
+
+
+def _search(least: float):
+    """Rows (path, id, sketch) sorted by path to edges (id, leader) of each bucket's candidates."""
+
+    def edges(t: pa.Table, full: int):
+        path = t["path"].to_numpy()[:full]
+        new = np.flatnonzero(np.diff(path, prepend=~path[:1]) != 0)
+        begin = np.repeat(new, np.diff(np.append(new, full)))
+        marks = np.frombuffer(b"".join(t["sketch"].slice(0, full).to_pylist()), np.uint8).reshape(full, BINS)
+        a, b = bucket_candidates(t["id"].to_numpy()[:full], begin, marks, least)
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["id", "leader"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            path = held["path"].to_numpy()
+            last = int(np.searchsorted(path != path[-1], False)) if path[0] == path[-1] else int(np.flatnonzero(path != path[-1])[-1]) + 1
+            if last:
+                yield from edges(held, last)
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield from edges(held, len(held))
+
+    return run
+
+
+def _sign(size: int, runs: list[int]):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
@@ -90,19 +161,19 @@ def _sign(size: int, runs: int):
                 values, offsets = shingle_sets(b.column("text"), size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
-                keys = [None] * b.num_rows
-                paths = pa.nulls(b.num_rows, pa.list_(pa.int64()))
+                keys, marks = [None] * b.num_rows, [None] * b.num_rows
+                paths = [pa.nulls(b.num_rows, pa.list_(pa.int64()))] * len(runs)
                 if len(full):
                     begin = offsets[:-1][full]
                     ends = np.append(begin, offsets[-1])
                     x = np.add.reduceat(scramble(values), begin)
                     y = np.add.reduceat(scramble(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
-                    for k, p, q in zip(full.tolist(), x.tolist(), y.tolist(), strict=True):
-                        keys[k] = p.to_bytes(8, "little") + q.to_bytes(8, "little")
+                    for k, p, q, m in zip(full.tolist(), x.tolist(), y.tolist(), sketches(values, ends), strict=True):
+                        keys[k], marks[k] = p.to_bytes(8, "little") + q.to_bytes(8, "little"), m.tobytes()
                     at = np.full(b.num_rows, -1)
                     at[full] = np.arange(len(full))
-                    paths = run_paths(values, ends, runs, DEPTHS[0]).take(pa.array(at, mask=at < 0))
-                yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), pa.array(keys, pa.binary()), pa.array(n), paths], names=["doc_id", "th", "row", "set_key", "set_size", "paths"])
+                    paths = [run_paths(values, ends, r, d).take(pa.array(at, mask=at < 0)) for r, d in zip(runs, DEPTHS, strict=False)]
+                yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), pa.array(keys, pa.binary()), pa.array(n), pa.array(marks, pa.binary()), *paths], names=["doc_id", "th", "row", "set_key", "set_size", "sketch", *(f"paths{d}" for _, d in zip(runs, DEPTHS, strict=False))])
 
     return run
 
@@ -118,29 +189,37 @@ def _deeper(size: int, runs: int, depth: int):
     return run
 
 
-def bucket_edges(classes: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float, small: int) -> DataFrame:
-    """(id, leader) of the sets that share a leaf with others, the leaf's least id leading. docs: doc_id, text, th."""
-    paths, texts, out = classes.select("id", "paths"), None, None
+def candidates(classes: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float, small: int) -> DataFrame:
+    """(id, leader): edges between the sets that are to be compared. docs: doc_id, text, th."""
+    crowd, texts, out = None, None, None
     for level, d in enumerate(DEPTHS):
         last = level == len(DEPTHS) - 1
+        if level < EARLY:
+            x = classes if crowd is None else classes.join(crowd, "id", "left_semi")
+            paths = x.select("id", F.col(f"paths{d}").alias("paths"))
+        else:
+            if texts is None:
+                named = classes.join(crowd, "id", "left_semi").select("id", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+                texts = docs.join(named, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
+                texts = materialize(texts, "crowded")
+            else:
+                texts = texts.join(crowd, "id", "left_semi")
+            # rows that repeat a document bring its set again
+            deeper = texts.mapInArrow(_deeper(size, level_runs(threshold, recall, d), d), "id long, paths array<long>")
+            paths = materialize(deeper.dropDuplicates(["id"]), "deeper")
         rows = paths.select("id", F.explode("paths").alias("path"))
         leaf = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
-        met = materialize(rows.join(leaf, "path").select("id", "leader", "n"), f"paths{d}")
-        here = met if last else met.where(F.col("n") <= small)
-        edges = here.where("id != leader").select("id", "leader")
+        met = materialize(rows.join(leaf, "path"), f"met{d}")
+        bucket = met.where(F.col("n") <= small).select("id", "path").join(classes.select("id", "sketch"), "id")
+        bucket = bucket.repartition("path").sortWithinPartitions("path")
+        edges = bucket.mapInArrow(_search(least_estimate(threshold)), "id long, leader long")
+        large = met.where(F.col("n") > small)
+        if last:
+            edges = edges.unionByName(large.where("id != leader").select("id", "leader"))
         out = edges if out is None else out.unionByName(edges)
-        crowd = met.where(F.col("n") > small).select("id").distinct()
+        crowd = materialize(large.select("id").distinct(), "crowd")
         if last or crowd.isEmpty():
             return out
-        if texts is None:
-            named = classes.join(crowd, "id").select("id", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
-            texts = docs.join(named, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
-            texts = materialize(texts, "crowded")
-        else:
-            texts = texts.join(crowd, "id", "left_semi")
-        runs = level_runs(threshold, recall, DEPTHS[level + 1])
-        # rows that repeat a document bring its set again
-        paths = materialize(texts.mapInArrow(_deeper(size, runs, DEPTHS[level + 1]), "id long, paths array<long>").dropDuplicates(["id"]), "deeper")
 
 
 def intersections(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -210,18 +289,9 @@ def _compare(size: int, threshold: float):
         yield pa.record_batch([pa.array(np.ones(len(v), bool)), pa.array(v), pa.array(u)], names=["link", "a", "b"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([t[c].to_numpy() for c in ("block", "first", "second")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            edges = [0, *cuts.tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield from group(t.slice(a, b - a).combine_chunks())
-            held = t.slice(edges[-1])
-        if held is not None and len(held):
-            yield from group(held.combine_chunks())
+        one_blas_thread()
+        for t in sorted_groups(batches, ("block", "first", "second")):
+            yield from group(t)
 
     return run
 
@@ -231,19 +301,21 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
 
     rows: also th (xxhash64 of the text) and component (a number of the class, null where nothing is linked).
     """
-    runs = level_runs(threshold, recall, DEPTHS[0])
+    runs = [level_runs(threshold, recall, d) for d in DEPTHS[:EARLY]]
+    made = ["sketch", *(f"paths{d}" for d in DEPTHS[:EARLY])]
     text = F.coalesce("text", F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     # rows get numbers, so that repeated and null doc_ids are told apart
-    signed = materialize(x.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size, runs), "doc_id long, th long, row long, set_key binary, set_size long, paths array<long>"), "signed")
+    schema = "doc_id long, th long, row long, set_key binary, set_size long, sketch binary, " + ", ".join(f"{c} array<long>" for c in made[1:])
+    signed = materialize(x.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(size, runs), schema), "signed")
     keyed = signed.where("set_key IS NOT NULL")
     classes = keyed.groupBy("set_key").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    classes = materialize(classes.join(keyed.select(F.col("row").alias("id"), "doc_id", "th", "paths"), "id"), "classes")
-    blocks = components(bucket_edges(classes, x, size, threshold, recall, small))
+    classes = materialize(classes.join(keyed.select(F.col("row").alias("id"), "doc_id", "th", *made), "id"), "classes")
+    blocks = components(candidates(classes, x, size, threshold, recall, small))
     blocks = materialize(blocks.withColumnRenamed("component", "block"), "blocks")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("of"))
     tiles = F.ceil(F.col("of") / tile).cast("int")
-    member = blocks.join(sizes, "block").select("id", "block", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("own")).join(classes.select("id", "copies", F.col("doc_id").alias("_doc"), F.col("th").alias("_th")), "id")
+    member = spread_join(blocks, sizes.withColumnRenamed("block", "_b"), "block", "_b", "id").select("id", "block", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("own")).join(classes.select("id", "copies", F.col("doc_id").alias("_doc"), F.col("th").alias("_th")), "id")
     texts = x.join(member, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text", "block", "tiles", "own", "copies")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("first"), F.greatest(F.col("own"), j).alias("second"), (F.col("own") > j).alias("side"))))
     dealt = texts.select("id", "text", "block", "copies", pair.alias("p")).select("id", "text", "block", "copies", "p.*")
@@ -254,8 +326,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     y = classes.select("set_key", "id", "copies", "least").join(links, "id", "left").join(parts, "id", "left")
     y = materialize(y.select("set_key", "copies", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("component")), "linked")
     smallest = y.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = y.where("copies > 1 OR links > 0").join(smallest, "component").select(F.col("set_key").alias("k"), "copies", "least", "links", "class_id", "component")
-    z = signed.select("doc_id", "set_key", "th").join(named, F.col("set_key") == F.col("k"), "left")
+    smallest = smallest.withColumnRenamed("component", "_c")
+    named = spread_join(y.where("copies > 1 OR links > 0"), smallest, "component", "_c", "set_key").select(F.col("set_key").alias("k"), "copies", "least", "links", "class_id", "component")
+    z = spread_join(signed.select("doc_id", "set_key", "th", "row"), named, "set_key", "k", "row", "left")
     own = lambda c: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(c))
     return z.select("doc_id", own("class_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("n_links"), own("least").alias("set_id"), *(["th", "component"] if rows else []))
 
