@@ -3,18 +3,23 @@
 1. Vectors that are null, zero, or hold null or non-finite components link with nothing. Identical vectors become one
    with a count, so copies are never compared.
 2. A rotation by the principal axes of at most SAMPLE unit vectors (those of the least hashes) orders the dimensions.
-   The same sample gives a k-d tree over the leading coordinates; its leaves are tiles of about TILE vectors.
-3. A vector is sent to the tile pairs whose other box it can reach within the distance that the threshold allows.
-4. Two tiles are compared in parts: products of the leading LEAD dimensions first; what the others can add is bounded
-   by the product of the suffix norms. Where no pair can reach the threshold the part is done; else the remaining
-   dimensions are added. Comparisons are in double precision; cosines within 1e-9 of the threshold are computed anew
-   from the vectors as given.
+   The same sample gives a k-d tree over the leading coordinates. Its leaves are cut by a hash into tiles of about
+   TILE_FLOATS coordinates, by their true counts, so that neither a dense region nor a table beyond the sample makes a
+   tile large.
+3. A vector is sent to the pairs of tiles whose other leaf it can reach within the distance that the threshold allows;
+   leaves are found by descending the tree.
+4. Two tiles are compared in parts: products of the leading dimensions are accumulated step by step (STEPS, then all).
+   After each step, what the remaining ones can add is bounded by the product of the suffix norms, and rows and columns
+   without a pair that can still reach the threshold are dropped; where none is left the part is done. Comparisons are
+   in double precision; cosines within 1e-9 of the threshold are computed anew from the vectors as given.
 5. A tile pair returns link counts and a spanning forest of its links, never the pairs.
 
-The rotation and the tree only order the work: any sample gives the same links.
+The rotation and the tree only order the work: any sample gives the same links. Where vectors have no near neighbours
+in the leading coordinates every tile meets every other, so a vector crosses the network once for each tile.
 
 Defined cases: vectors of different lengths don't link; repeated vec_ids are vectors of their own which share a row's
-id; a null vec_id links like any other and is reported with null component; an empty table gives no rows.
+id; a null vec_id links like any other and is reported with its component's smallest id, null if it has none; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, materialize
+from tarn.llm.common import components, materialize, one_blas_thread, sorted_groups, spread_join
+from tarn.llm.words import scramble
 
-THRESHOLD, TILE, SAMPLE, LEAD, AXES, PART = 0.9, 4096, 20_000, 16, 8, 1024
+THRESHOLD, TILE_FLOATS, SAMPLE, STEPS, AXES, PART = 0.9, 1 << 20, 20_000, (16, 32, 64, 128, 256), 8, 1024
 
 
 class Plan:
@@ -83,19 +89,24 @@ class Plan:
         return out
 
     def reach(self, lead: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, tile) where the row's squared distance to the tile's box is at most ``most``."""
-        rows, tiles = [], []
-        step = max(1, 4_000_000 // max(1, self.tiles))
-        for i in range(0, len(lead), step):
-            far = np.zeros((len(lead[i : i + step]), self.tiles))
-            for k in range(self.axes):
-                x = lead[i : i + step, k, None]
-                gap = np.maximum(0, np.maximum(self.low[:, k] - x, x - self.high[:, k]))
-                far += gap * gap
-            r, t = np.nonzero(far <= most)
-            rows.append(r + i)
-            tiles.append(t)
-        return np.concatenate(rows), np.concatenate(tiles)
+        """(row, leaf) where the row's squared distance to the leaf's box is at most ``most``."""
+        rows, leaves = [], []
+        # distances so far by axis: beyond a cut, an axis is as far as the farthest cut passed
+        todo = [(self.root, np.arange(len(lead)), np.zeros((len(lead), self.axes)))]
+        while todo:
+            node, at, far = todo.pop()
+            if node < 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), ~node))
+                continue
+            axis, cut, a, b = self.nodes[node]
+            for child, beyond in ((a, lead[at, axis] - cut), (b, cut - lead[at, axis])):
+                new = far.copy()
+                new[:, axis] = np.maximum(new[:, axis], beyond)
+                near = (new * new).sum(1) <= most
+                if near.any():
+                    todo.append((child, at[near], new[near]))
+        return np.concatenate(rows), np.concatenate(leaves)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -110,50 +121,78 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _deal(plans: dict[int, Plan], threshold: float):
-    """Rows (id, n, embedding) to the tile pairs they take part in."""
+def _leaf(plans: dict[int, Plan]):
+    """Rows (id, n, embedding) with their leaf: of which tile a row is follows from the leaf's count."""
+
+    def run(batches):
+        one_blas_thread()
+        for batch in batches:
+            for b, plan, d in _by_length(batch, plans):
+                lead = unit(_matrix(b.column("embedding"))) @ plan.rotation[:, : plan.axes]
+                leaf = plan.tile_of(lead)
+                yield pa.record_batch([pa.array(np.full(len(leaf), d, np.int32)), pa.array(leaf)], names=["dim", "leaf"])
+
+    return run
+
+
+def _by_length(batch: pa.RecordBatch, plans: dict[int, Plan]):
+    for i in range(0, batch.num_rows, 4096):
+        b = batch.slice(i, 4096)
+        lengths = pa.compute.list_value_length(b.column("embedding")).to_numpy()
+        for d in np.unique(lengths).tolist():
+            yield b.filter(pa.array(lengths == d)), plans[d], d
+
+
+def _deal(plans: dict[int, Plan], tiles: dict[int, np.ndarray], threshold: float):
+    """Rows (id, n, embedding) to the tile pairs they take part in. tiles: for each length, where the leaves' tiles begin and the last end."""
 
     def run(batches):
+        one_blas_thread()
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                b = batch.slice(i, 4096)
-                lengths = pa.compute.list_value_length(b.column("embedding")).to_numpy()
-                for d in np.unique(lengths).tolist():
-                    x = b.filter(pa.array(lengths == d))
-                    plan = plans[d]
-                    lead = unit(_matrix(x.column("embedding"))) @ plan.rotation[:, : plan.axes]
-                    own = plan.tile_of(lead)
-                    row, tile = plan.reach(lead, 2 - 2 * threshold + 1e-9)
-                    first, second = np.minimum(own[row], tile), np.maximum(own[row], tile)
-                    side = (own[row] == second) & (first != second)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), d, np.int32)), pa.array(first), pa.array(second), pa.array(side), x.column("id").take(take), x.column("n").take(take), x.column("embedding").take(take)],
-                        names=["dim", "first", "second", "side", "id", "n", "embedding"],
-                    )
+            for x, plan, d in _by_length(batch, plans):
+                lead = unit(_matrix(x.column("embedding"))) @ plan.rotation[:, : plan.axes]
+                begin = tiles[d]
+                parts = np.diff(begin)
+                own = plan.tile_of(lead)
+                mixed = scramble(x.column("id").to_numpy().astype(np.uint64)) >> np.uint64(33)
+                own = begin[own] + (mixed % parts[own].astype(np.uint64)).astype(np.int64)
+                row, leaf = plan.reach(lead, 2 - 2 * threshold + 1e-9)
+                # every tile of a reached leaf
+                n = parts[leaf]
+                tile = np.repeat(begin[leaf], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(row, n)
+                first, second = np.minimum(own[row], tile), np.maximum(own[row], tile)
+                side = (own[row] == second) & (first != second)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), d, np.int32)), pa.array(first), pa.array(second), pa.array(side), x.column("id").take(take), x.column("n").take(take), x.column("embedding").take(take)],
+                    names=["dim", "first", "second", "side", "id", "n", "embedding"],
+                )
 
     return run
 
 
-def links_of(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float, lead: int) -> np.ndarray | None:
-    """Which rows of a and b (unit vectors; y: rotated; s: norms of the dimensions after the leading ones) are linked; None: no pair can be."""
-    s = ya[:, :lead] @ yb[:, :lead].T
-    can = s + np.outer(sa, sb) >= threshold - 1e-9
-    if not can.any():
-        return None
-    if can.sum() > can.size // 50:
-        s += ya[:, lead:] @ yb[:, lead:].T
-        hit = can & (s >= threshold)
-        i, j = np.nonzero(can & (np.abs(s - threshold) < 1e-9))
-    else:
-        i, j = np.nonzero(can)
-        v = s[i, j] + np.einsum("ij,ij->i", ya[i, lead:], yb[j, lead:])
-        hit = np.zeros(can.shape, bool)
-        hit[i, j] = v >= threshold
-        close = np.abs(v - threshold) < 1e-9
-        i, j = i[close], j[close]
+def links_of(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float, steps: list[int]) -> np.ndarray | None:
+    """Which rows of a and b (unit vectors) are linked; None: no pair can be.
+
+    y: rotated; s: norms of the dimensions after each step's leading ones (a column a step, the last for all dimensions).
+    """
+    rows, cols = np.arange(len(a)), np.arange(len(b))
+    s, done = 0.0, 0
+    for k, stop in enumerate(steps):
+        s = s + ya[rows, done:stop] @ yb[cols, done:stop].T
+        done = stop
+        can = s + np.outer(sa[rows, k], sb[cols, k]) >= threshold - 1e-9
+        i, j = can.any(1), can.any(0)
+        if not i.any():
+            return None
+        rows, cols, s = rows[i], cols[j], s[np.ix_(i, j)]
+    part = s >= threshold
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
     if len(i):
-        hit[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
+        part[i, j] = np.einsum("ij,ij->i", a[rows[i]], b[cols[j]]) >= threshold
+    hit = np.zeros((len(a), len(b)), bool)
+    hit[np.ix_(rows, cols)] = part
     return hit
 
 
@@ -173,17 +212,18 @@ def forest(hit: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.nd
     return v[v != u], u[v != u]
 
 
-def _compare(plans: dict[int, Plan], threshold: float, lead_dims: int, part: int):
+def _compare(plans: dict[int, Plan], threshold: float, part: int):
     """Rows sorted by tile pair and side to (link, a, b): counts of a's links (link false) and edges (link true)."""
 
     def group(t: pa.Table):
         plan = plans[t["dim"][0].as_py()]
-        lead = min(lead_dims, len(plan.rotation))
+        d = len(plan.rotation)
+        steps = [*(k for k in STEPS if k < d), d]
         same = t["first"][0] == t["second"][0]
         side, ids, n = t["side"].to_numpy(), t["id"].to_numpy(), t["n"].to_numpy()
         x = unit(_matrix(t["embedding"]))
         y = x @ plan.rotation
-        rest = np.sqrt(np.maximum(0, (y[:, lead:] ** 2).sum(1))) * (1 + 1e-12)
+        rest = np.stack([np.sqrt((y[:, k:] ** 2).sum(1)) * (1 + 1e-12) for k in steps], 1)
         left, right = (np.arange(len(t)), np.arange(len(t))) if same else (np.flatnonzero(~side), np.flatnonzero(side))
         counts = np.zeros(len(t))
         edges = []
@@ -191,7 +231,7 @@ def _compare(plans: dict[int, Plan], threshold: float, lead_dims: int, part: int
             a = left[i : i + part]
             for j in range(i if same else 0, len(right), part):
                 b = right[j : j + part]
-                hit = links_of(x[a], x[b], y[a], y[b], rest[a], rest[b], threshold, lead)
+                hit = links_of(x[a], x[b], y[a], y[b], rest[a], rest[b], threshold, steps)
                 if hit is None:
                     continue
                 if same and i == j:
@@ -209,23 +249,14 @@ def _compare(plans: dict[int, Plan], threshold: float, lead_dims: int, part: int
             yield pa.record_batch([pa.array(np.ones(len(v), bool)), pa.array(v), pa.array(u)], names=["link", "a", "b"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([t[c].to_numpy() for c in ("dim", "first", "second")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            edges = [0, *cuts.tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield from group(t.slice(a, b - a).combine_chunks())
-            held = t.slice(edges[-1])
-        if held is not None and len(held):
-            yield from group(held.combine_chunks())
+        one_blas_thread()
+        for t in sorted_groups(batches, ("dim", "first", "second")):
+            yield from group(t)
 
     return run
 
 
-def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile_floats: int = TILE_FLOATS, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: row's key, vec_id; distinct: key, id, copies; found: link counts and edges between ids)."""
     e = F.col(embedding)
     number = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
@@ -238,25 +269,34 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     plans = {}
     for d, c in counts.items():
         some = distinct.where(F.size("embedding") == d).orderBy(F.xxhash64("embedding"), "id").limit(max(2, min(SAMPLE, 4_000_000 // d))).select("embedding").toArrow()
-        plans[d] = Plan(unit(_matrix(some["embedding"])), max(1, round(c / tile)))
+        plans[d] = Plan(unit(_matrix(some["embedding"])), max(1, round(c * d / tile_floats)))
     if not plans:
         return x, distinct, distinct.select(F.lit(True).alias("link"), F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    dealt = distinct.select("id", "n", "embedding").mapInArrow(_deal(plans, threshold), f"dim int, first long, second long, side boolean, id long, n long, embedding {kind}")
+    # a row for each leaf, as many as the sample has at most
+    held = distinct.select("embedding").mapInArrow(_leaf(plans), "dim int, leaf long").groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("c")).collect()
+    tiles = {}
+    for d, plan in plans.items():
+        parts = np.ones(plan.tiles, np.int64)
+        for r in held:
+            if r["dim"] == d:
+                parts[r["leaf"]] = max(1, -(-r["c"] * d // (2 * tile_floats)))
+        tiles[d] = np.concatenate([[0], np.cumsum(parts)])
+    dealt = distinct.select("id", "n", "embedding").mapInArrow(_deal(plans, tiles, threshold), f"dim int, first long, second long, side boolean, id long, n long, embedding {kind}")
     dealt = dealt.repartition("dim", "first", "second").sortWithinPartitions("dim", "first", "second", "side")
-    return x, distinct, materialize(dealt.mapInArrow(_compare(plans, threshold, LEAD, PART), "link boolean, a long, b long"), "links")
+    return x, distinct, materialize(dealt.mapInArrow(_compare(plans, threshold, PART), "link boolean, a long, b long"), "links")
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile_floats: int = TILE_FLOATS) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id, kept."""
-    x, distinct, found = embedding_links(vectors, threshold, tile)
+    x, distinct, found = embedding_links(vectors, threshold, tile_floats)
     links = found.where("NOT link").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     parts = components(found.where("link").select("a", "b"))
     classes = distinct.select("embedding", "id", "n", "least").join(links, "id", "left").join(parts, "id", "left")
     classes = materialize(classes.select("embedding", "n", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("component")), "classes")
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "component").select(F.col("embedding").alias("e"), F.col("links"), F.col("n"), F.col("component_id"))
-    named = named.where((F.col("n") > 1) | (F.col("links") > 0))
-    y = x.join(named, F.col("embedding") == F.col("e"), "left")
+    smallest = smallest.withColumnRenamed("component", "_c")
+    named = spread_join(classes.where("n > 1 OR links > 0"), smallest, "component", "_c", "embedding").select(F.col("embedding").alias("e"), "links", "n", "component_id")
+    y = spread_join(x, named, "embedding", "e", "row", "left")
     own = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     n_links = F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0).cast("long"))
     return y.select("vec_id", n_links.alias("n_links"), own.alias("component_id"), own.eqNullSafe(F.col("vec_id")).alias("kept"))
