@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import one_blas_thread
+from tarn.llm.common import materialize, one_blas_thread
 
 MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, FIRST, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 4, 16, 40, 2.0, 0.3
 STEMS, MOST_WORDS = (4, 6), 400_000
@@ -151,7 +151,7 @@ class BlockMaxIndex:
         self.matrix[at[at >= 0], ids[at >= 0]] = weights[at >= 0]
         term, ids, weights = term[at < 0], ids[at < 0], weights[at < 0]
         order = np.argsort(term, kind="stable")
-        self.ids, self.weights = ids[order], weights[order]
+        self.ids, self.weights = ids[order].astype(np.int32), weights[order]
         cell = term[order] * self.blocks + self.ids // block
         self.at = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
         self.most = np.zeros(terms * self.blocks, np.float32)
@@ -379,8 +379,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     """A model from rows of labels (doc_id, toxic) on documents; corpus counts are over all documents."""
     spark = docs.sparkSession
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
-    counts = {r["toxic"]: r["n"] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a row for each doc_id, so that an id of very many rows isn't gathered
+    present = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    known = materialize(known.join(present, "doc_id"), "labelled")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.sum("_rows").alias("n")).collect()}
+    known = known.drop("_rows")
     asked = None
     for y, n in counts.items():
         ids = known.where(F.col("toxic") == y)
@@ -406,8 +409,8 @@ def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
         one_blas_thread()
         for b in batches:
             out = []
-            for i in range(0, b.num_rows, 128):
-                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 128).to_pylist()]
+            for i in range(0, b.num_rows, 256):
+                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 256).to_pylist()]
                 out += [model.score(k, base) for k, base in zip(keys, model.dense_sums(keys), strict=True)]
             scores = pa.array([s for s, _ in out], pa.float64())
             extra = [pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())]
