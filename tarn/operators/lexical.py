@@ -1,11 +1,19 @@
-"""BM25 over materialisable postings: tokenise once, then query by joins."""
+"""BM25 over stored postings: texts are tokenised once, at fit; a question reads the postings of its terms.
+
+Postings are range-partitioned by (term, key) and sorted, so a term in every document spans many files, and a question's
+filter on terms skips files and row groups by their statistics.
+"""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import TOKEN, code_tokens
+from tarn.session import materialize, spread
 
 K1, B = 1.5, 0.75
 
@@ -33,43 +41,54 @@ def idf(n, df):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def query_terms(spark, query: str) -> DataFrame:
-    """(term, qn): a term counts as often as it is asked for."""
-    return spark.createDataFrame([(query,)], "q string").select(F.explode(code_tokens("q")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qn"))
+@dataclass
+class Index:
+    """postings(term, key, tf, dl), keys(key) of all documents, and the corpus' size and mean length."""
 
+    postings: DataFrame
+    keys: DataFrame
+    n: int
+    avgdl: float
 
-def _count(tokens: str, term: str):
-    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
 
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, key, tf, dl), in order of term and key."""
+    # lower case by way of one string, which unlike a lambda over the tokens is compiled
+    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    x = spread(docs.select(key, text), key).select(key, F.size(raw).cast("long").alias("dl"), F.explode(F.split(F.lower(F.array_join(raw, " ")), " ")).alias("term"))
+    x = x.where("term != ''").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return x.select("term", F.col(key).alias("key"), "tf", "dl").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
 
-def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score) of the documents that hold a term of the query.
 
-    One pass over the texts: each row yields its length and its counts of the few terms asked for, so nothing but
-    matching rows is shuffled. The query's terms are as many as its words; df and the corpus' size are one small
-    aggregate each.
-    """
-    spark = docs.sparkSession
-    asked = {r["term"]: r["qn"] for r in query_terms(spark, query).collect()}
-    if not asked:
-        return docs.select(key, F.lit(0.0).alias("score")).where("false")
-    # lower case by way of one string, which unlike a lambda over the tokens is compiled
-    raw = docs.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    tokens = raw.select(key, F.size("raw").alias("dl"), F.split(F.lower(F.array_join("raw", " ")), " ").alias("t"))
-    terms = sorted(asked)
-    counted = tokens.select(key, F.col("dl").cast("long").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    x = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats), F.lit(True))  # stats: one row
-    score = F.lit(0.0)
-    for i, w in enumerate(terms):
-        tf = F.col(f"tf{i}")
-        score = score + F.when(tf > 0, asked[w] * idf(F.col("n"), F.col(f"df{i}")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    return x.select(key, score.alias("score"))
-
-
-def bm25_topk(docs: DataFrame, query: str, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def index_of(stored: DataFrame, docs: DataFrame, key: str = "doc_id") -> Index:
+    """An index of stored postings. Sizes come from the postings, so texts aren't read again."""
+    keys = docs.select(F.col(key).alias("key"))
+    n, total = keys.count(), stored.agg(F.sum("tf")).first()[0] or 0
+    return Index(stored, keys, n, total / n if n else 0.0)
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """An index whose postings are written to the shared folder."""
+    return index_of(materialize(postings(docs, key, text), "postings"), docs, key)
+
+
+def bm25_scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(key, score) of the documents that hold a term of the query; a term counts as often as it is asked for."""
+    asked: dict[str, int] = {}
+    for t in re.findall(TOKEN, query):
+        asked[t.lower()] = asked.get(t.lower(), 0) + 1
+    hits = index.postings.where(F.col("term").isin(*sorted(asked)) if asked else F.lit(False))
+    # as many rows as the query has terms
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    often = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(asked.items()) for x in kv]), F.col("term")) if asked else F.lit(0)
+    tf = F.col("tf")
+    weight = often * idf(F.lit(index.n), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    return hits.join(F.broadcast(df), "term").groupBy("key").agg(F.sum(weight).alias("score"))
+
+
+def bm25_topk(index: Index, query: str, k: int = 5, key: str = "doc_id") -> DataFrame:
     """The k best, ties by key; documents without a term fill up with score 0."""
-    best = bm25_scores(docs, query, key, text).orderBy(F.round("score", 9).desc(), key).limit(k)
+    best = bm25_scores(index, query).orderBy(F.round("score", 9).desc(), "key").limit(k)
     # where less than k have a score, all of them are in best, so 2 k keys hold enough others
-    fill = docs.select(key).orderBy(key).limit(2 * k).select(key, F.lit(0.0).alias("score"))
-    return best.unionByName(fill).groupBy(key).agg(F.max("score").alias("score")).orderBy(F.round("score", 9).desc(), key).limit(k)
+    fill = index.keys.orderBy("key").limit(2 * k).select("key", F.lit(0.0).alias("score"))
+    return best.unionByName(fill).groupBy("key").agg(F.max("score").alias("score")).orderBy(F.round("score", 9).desc(), "key").limit(k).withColumnRenamed("key", key)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import code_tokens
-from tarn.operators.lexical import bm25_topk
+from tarn.operators.lexical import Index, bm25_topk
 from tarn.operators.vector_search import vector_topk, vector_topk_semi
+from tarn.session import materialize
 
 
 def keep_first(ranked: list[DataFrame], key: str) -> DataFrame:
@@ -37,10 +38,10 @@ def rerank(candidates: DataFrame, query: str, k: int = 5, text: str = "text", ke
     return candidates.withColumn("score", score(F.col(text), query)).orderBy(F.desc("score"), key).limit(k)
 
 
-def hybrid_candidates(docs: DataFrame, vectors: DataFrame, query: str, embedding: list[float], k: int = 20) -> DataFrame:
+def hybrid_candidates(index: Index, vectors: DataFrame, query: str, embedding: list[float], k: int = 20) -> DataFrame:
     """(doc_id, pos, source_rank): vector hits, then lexical hits that aren't among them."""
     v = placed(vector_topk(vectors, embedding, k).withColumnRenamed("vec_id", "doc_id"), "distance", "doc_id")
-    b = placed(bm25_topk(docs, query, k), F.round("score", 9).desc(), "doc_id")
+    b = placed(bm25_topk(index, query, k), F.round("score", 9).desc(), "doc_id")
     return keep_first([v, b], "doc_id")
 
 
@@ -50,19 +51,31 @@ def expand(seeds: DataFrame, docs: DataFrame, by: str = "source", key: str = "do
     return docs.join(near, by, "left_semi").select(key).join(seeds.select(key), key, "left_anti")
 
 
-def graph_aware(docs: DataFrame, vectors: DataFrame, query: str, embedding: list[float], seeds: int = 20, more: int = 50, k: int = 5) -> DataFrame:
-    """The k best of the seeds and of the nearest among their neighbours, reranked once; retrieval runs once."""
-    first = hybrid_candidates(docs, vectors, query, embedding, seeds)
+def graph_aware(docs: DataFrame, index: Index, vectors: DataFrame, query: str, embedding: list[float], seeds: int = 20, more: int = 50, k: int = 5) -> DataFrame:
+    """The k best of the seeds and of the nearest among their neighbours, reranked once; retrieval runs once.
+
+    The seeds (2 * seeds rows at most) are written before what three branches of the plan make of them.
+    """
+    first = materialize(hybrid_candidates(index, vectors, query, embedding, seeds), "seeds")
     near = expand(first, docs).withColumnRenamed("doc_id", "vec_id")
     extra = placed(vector_topk_semi(vectors, embedding, near, "vec_id", more).withColumnRenamed("vec_id", "doc_id"), "distance", "doc_id")
     found = keep_first([first.select("doc_id", (F.col("source_rank") * 1000 + F.col("pos")).alias("pos")), extra], "doc_id")
-    return rerank(docs.join(found.select("doc_id"), "doc_id"), query, k)
+    # at most 2 * seeds + more keys
+    return rerank(docs.join(F.broadcast(found.select("doc_id")), "doc_id"), query, k)
+
+
+def context_part(text: str = "text") -> Column:
+    """A numbered result (pos, file_path, symbol_name, symbol_type, start_line, end_line, score, text): its whole text, and where it stands."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown"))
+    return F.concat(
+        F.lit("["), F.col("pos").cast("string"), F.lit("] File: "), known("file_path"), F.lit("\nSymbol: "), known("symbol_name"), F.lit(" ("), known("symbol_type"), F.lit(")\nLines: "), known("start_line"), F.lit("-"), known("end_line"),
+        F.lit("\nScore: "), F.when(F.col("score").isNotNull(), F.format_string("%.4f", F.col("score").cast("double"))).otherwise("unknown"), F.lit("\n"), F.coalesce(F.col(text), F.lit("")),
+    )
 
 
-def context_block(hits: DataFrame, text: str = "text", key: str = "doc_id", most: int = 200) -> DataFrame:
-    """One row with the numbered texts of a short list (pos, key, text)."""
-    part = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] doc "), F.col(key).cast("string"), F.lit("\n"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most)))
-    x = hits.select("pos", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+def context_block(hits: DataFrame, text: str = "text") -> DataFrame:
+    """One row: the parts of a short list in order."""
+    x = hits.select("pos", context_part(text).alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
     return x.select(F.array_join(F.transform("p", lambda s: s["part"]), "\n\n").alias("context"))
 
 

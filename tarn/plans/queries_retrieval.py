@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import code_tokens
 from tarn.operators import evaluate, lexical, retrieve, vector_search
-from tarn.session import table
+from tarn.session import materialize, spread, table
 
 ASK, RARE = "the nation idiot the version", "copyright zzz apache"
 TOK = "regexp_extract_all({0}, '[0-9]+|[a-z]+|[A-Z]+[a-z]*')"
@@ -17,18 +17,18 @@ def first_vector(spark, sf_dir) -> list[float]:
 
 
 def tokenize_code(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     extra = spark.createDataFrame([(-1, "HTTPServer2x getUserName snake_case_id def run(self):")], "doc_id long, text string")
     t = code_tokens("text")
     return docs.unionByName(extra).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 def term_frequency(spark, sf_dir):
-    return lexical.term_frequency(table(spark, sf_dir, "documents"))
+    return lexical.term_frequency(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def document_frequency(spark, sf_dir):
-    return lexical.document_frequency(lexical.term_frequency(table(spark, sf_dir, "documents")))
+    return lexical.document_frequency(lexical.term_frequency(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")))
 
 
 def corpus_stats(spark, sf_dir):
@@ -42,11 +42,11 @@ def bm25_idf(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25_topk(table(spark, sf_dir, "documents"), ASK, 5).select("doc_id", F.round("score", 6).alias("score"))
+    return lexical.bm25_topk(lexical.fit(table(spark, sf_dir, "documents")), ASK, 5).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_zero_fill(spark, sf_dir):
-    return lexical.bm25_topk(table(spark, sf_dir, "documents"), "zzzqqq", 5).select("doc_id", F.round("score", 6).alias("score"))
+    return lexical.bm25_topk(lexical.fit(table(spark, sf_dir, "documents")), "zzzqqq", 5).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def vector_topk(spark, sf_dir):
@@ -59,7 +59,7 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 def hybrid_candidates(spark, sf_dir):
-    return retrieve.hybrid_candidates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), ASK, first_vector(spark, sf_dir))
+    return retrieve.hybrid_candidates(lexical.fit(table(spark, sf_dir, "documents")), table(spark, sf_dir, "embeddings"), ASK, first_vector(spark, sf_dir))
 
 
 def rerank_overlap(spark, sf_dir):
@@ -69,18 +69,37 @@ def rerank_overlap(spark, sf_dir):
 
 def graph_expand(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return retrieve.expand(lexical.bm25_topk(docs, RARE, 5), docs)
+    return retrieve.expand(materialize(lexical.bm25_topk(lexical.fit(docs), RARE, 5), "seeds"), docs)
 
 
 def graph_aware_retrieve(spark, sf_dir):
-    out = retrieve.graph_aware(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), ASK, first_vector(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    out = retrieve.graph_aware(docs, lexical.fit(docs), table(spark, sf_dir, "embeddings"), ASK, first_vector(spark, sf_dir))
     return out.select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
 def retrieval_context(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = retrieve.placed(lexical.bm25_topk(docs, ASK, 5), F.round("score", 9).desc(), "doc_id")
-    return retrieve.context_block(hits.join(docs.select("doc_id", "text"), "doc_id"))
+    hits = retrieve.placed(lexical.bm25_topk(lexical.fit(docs), ASK, 5), F.round("score", 9).desc(), "doc_id")
+    x = docs.select("doc_id", "text", F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("symbol_name"), F.col("lang").alias("symbol_type"), F.lit(1).alias("start_line"), F.col("n_chars").alias("end_line"))
+    return retrieve.context_block(hits.join(x, "doc_id"))
+
+
+def context_format(spark, sf_dir):
+    """A context block for each source: here the fields of every document, whole texts, some fields missing."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    x = d.select(
+        "doc_id", F.lit(1).alias("pos"), "text", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("file_path"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).otherwise("").alias("symbol_name"),
+        F.lit("document").alias("symbol_type"), F.lit(1).alias("start_line"), F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("end_line"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") / 7).alias("score"),
+    )
+    return x.select("doc_id", F.md5(retrieve.context_part()).alias("context_md5"))
+
+
+def rerank_funnel(spark, sf_dir):
+    """20 + 20 candidates, reranked, the best 5."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    found = retrieve.hybrid_candidates(lexical.fit(docs), vectors, ASK, first_vector(spark, sf_dir))
+    return retrieve.rerank(docs.join(F.broadcast(found.select("doc_id")), "doc_id"), ASK, 5).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def citations(spark, sf_dir):
@@ -101,7 +120,7 @@ def eval_metrics(spark, sf_dir):
     return evaluate.averages(x.unionByName(failed)).select("queries", *[F.round(f"avg_{c}", 6).alias(f"avg_{c}") for c in ("precision", "recall", "citation_accuracy")])
 
 
-QUERIES = {f.__name__: f for f in (tokenize_code, term_frequency, document_frequency, corpus_stats, bm25_idf, bm25_topk, bm25_zero_fill, vector_topk, vector_topk_filtered, hybrid_candidates, rerank_overlap, graph_expand, graph_aware_retrieve, retrieval_context, citations, eval_metrics)}
+QUERIES = {f.__name__: f for f in (tokenize_code, term_frequency, document_frequency, corpus_stats, bm25_idf, bm25_topk, bm25_zero_fill, vector_topk, vector_topk_filtered, hybrid_candidates, rerank_overlap, graph_expand, graph_aware_retrieve, retrieval_context, context_format, rerank_funnel, citations, eval_metrics)}
 
 _T = f"tk AS (SELECT doc_id, unnest({TOK.format('text')}) AS raw FROM documents), tf AS (SELECT doc_id, lower(raw) AS term, count(*) AS tf FROM tk GROUP BY 1, 2)"
 _LEN = f"l AS (SELECT doc_id, coalesce(len({TOK.format('text')}), 0)::BIGINT AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l)"
@@ -139,8 +158,11 @@ ORACLES = {
     "graph_aware_retrieve": f"""{_HYBRID}, nb AS (SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents JOIN hy USING (doc_id)) AND doc_id NOT IN (SELECT doc_id FROM hy)),
         ex AS (SELECT vec_id AS doc_id FROM dist WHERE vec_id IN (SELECT doc_id FROM nb) ORDER BY distance, vec_id LIMIT 50), cand AS (SELECT doc_id FROM hy UNION SELECT doc_id FROM ex),
         s AS (SELECT doc_id, source, {_JACCARD} AS score FROM documents JOIN cand USING (doc_id)) SELECT doc_id, source, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 5)""",
-    "retrieval_context": f"""WITH {_T}, {_LEN}, {_bm25(ASK, 5)}, p AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS pos FROM bm)
-        SELECT string_agg('[' || pos || '] doc ' || doc_id || chr(10) || left(coalesce(text, ''), 200), chr(10) || chr(10) ORDER BY pos) AS context FROM p JOIN documents USING (doc_id)""",
+    "retrieval_context": f"""WITH {_T}, {_LEN}, {_bm25(ASK, 5)}, p AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS pos FROM bm)
+        SELECT string_agg('[' || pos || '] File: ' || source || chr(10) || 'Symbol: ' || doc_id || ' (' || lang || ')' || chr(10) || 'Lines: 1-' || n_chars || chr(10) || 'Score: ' || printf('%.4f', score) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY pos) AS context FROM p JOIN documents USING (doc_id)""",
+    "context_format": """SELECT doc_id, md5('[1] File: ' || CASE WHEN doc_id % 7 <> 0 THEN source ELSE 'unknown' END || chr(10) || 'Symbol: ' || CASE WHEN doc_id % 5 <> 0 THEN doc_id::VARCHAR ELSE 'unknown' END || ' (document)' || chr(10) || 'Lines: 1-'
+        || CASE WHEN doc_id % 11 <> 0 THEN coalesce(n_chars::VARCHAR, 'unknown') ELSE 'unknown' END || chr(10) || 'Score: ' || CASE WHEN doc_id % 3 <> 0 THEN printf('%.4f', doc_id / 7) ELSE 'unknown' END || chr(10) || coalesce(text, '')) AS context_md5 FROM documents WHERE source IS NOT NULL""",
+    "rerank_funnel": f"""{_HYBRID}, s AS (SELECT doc_id, {_JACCARD} AS score FROM documents JOIN hy USING (doc_id)) SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 5)""",
     "citations": """SELECT source || '/' || doc_id AS file, lang AS symbol, 'document' AS type, '1-' || n_chars AS lines FROM documents
         WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND lang <> '' AND source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL""",
     "eval_metrics": """WITH j AS (SELECT source AS query, quality = 1 AS e, toxic = 0 AND doc_id % 3 = 0 AS c FROM documents JOIN labels USING (doc_id)),

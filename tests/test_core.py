@@ -47,10 +47,20 @@ def test_window_must_exceed_overlap():
 
 def test_bm25_ranks_and_fills(spark):
     docs = spark.createDataFrame([(1, "def load data"), (2, "def save file"), (3, None)], "doc_id long, text string")
-    got = [(r["doc_id"], r["score"] > 0) for r in lexical.bm25_topk(docs, "save", 3).collect()]
+    index = lexical.fit(docs)
+    got = [(r["doc_id"], r["score"] > 0) for r in lexical.bm25_topk(index, "save", 3).collect()]
     assert got == [(2, True), (1, False), (3, False)]
-    assert lexical.bm25_topk(docs, "", 2).count() == 2
-    assert lexical.bm25_topk(docs.limit(0), "save", 2).count() == 0
+    assert lexical.bm25_topk(index, "", 2).count() == 2
+    assert lexical.bm25_topk(lexical.fit(docs.limit(0)), "save", 2).count() == 0
+    twice = {r["key"]: r["score"] for r in lexical.bm25_scores(index, "save save").collect()}
+    once = {r["key"]: r["score"] for r in lexical.bm25_scores(index, "save").collect()}
+    assert twice.keys() == once.keys() == {2} and abs(twice[2] - 2 * once[2]) < 1e-12
+
+
+def test_a_question_reads_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(100)], "doc_id long, text string")
+    plan = lexical.bm25_scores(lexical.fit(docs), "common")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "In(term" in plan or "EqualTo(term" in plan
 
 
 def edges(spark, rows):
