@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.incremental import through_cache
+from tarn.session import materialize
 
 
 class HashEmbedder:
@@ -31,28 +32,44 @@ class HashEmbedder:
         return (out / np.where(n > 0, n, 1)).astype(np.float32).tolist()
 
 
-class Retrying:
-    """Another embedder in batches, with a pause between them and a bounded number of repeats."""
+class Transient(Exception):
+    """A failure that may pass: a quota or a busy service. An adapter of a service raises it; other errors aren't repeated."""
 
-    def __init__(self, inner, batch: int = 20, pause: float = 0.0, tries: int = 5, wait: float = 15.0):
-        self.inner, self.batch, self.pause, self.tries, self.wait = inner, batch, pause, tries, wait
+
+class Pace:
+    """At most one call in ``gap`` seconds; a failed one waits ``wait`` seconds, at most ``tries`` times in a row."""
+
+    def __init__(self, gap: float = 0.0, tries: int = 5, wait: float = 15.0, clock=time.monotonic, sleep=time.sleep):
+        self.gap, self.tries, self.wait, self.clock, self.sleep, self.next = gap, tries, wait, clock, sleep, 0.0
+
+    def call(self, do: Callable):
+        for left in range(self.tries - 1, -1, -1):
+            self.sleep(max(0.0, self.next - self.clock()))
+            self.next = self.clock() + self.gap
+            try:
+                return do()
+            except Transient:
+                if not left:
+                    raise
+                self.next = self.clock() + self.wait
+
+
+class Paced:
+    """Another embedder, asked for some texts at a time under a pace."""
+
+    def __init__(self, inner, size: int = 20, pace: Pace | None = None):
+        self.inner, self.size, self.pace = inner, size, pace or Pace()
 
     def embed_texts(self, texts: list[str]) -> list[list[float]]:
-        import time
-
-        out: list[list[float]] = []
-        for i in range(0, len(texts), self.batch):
-            for left in reversed(range(self.tries)):
-                try:
-                    out += self.inner.embed_texts(texts[i : i + self.batch])
-                    break
-                except Exception:
-                    if not left:
-                        raise
-                    time.sleep(self.wait)
-            if i + self.batch < len(texts):
-                time.sleep(self.pause)
-        return out
+        parts = [texts[i : i + self.size] for i in range(0, len(texts), self.size)]
+        return [normalized(v) for part in parts for v in self.pace.call(lambda part=part: self.inner.embed_texts(part))]
+
+
+def normalized(reply) -> list[float]:
+    """A vector of a service's reply: numbers, or an object or mapping that holds them as ``embedding`` or ``values``."""
+    for name in ("embedding", "values"):
+        reply = reply.get(name, reply) if isinstance(reply, dict) else getattr(reply, name, reply) if not callable(getattr(reply, name, None)) else reply
+    return [float(x) for x in reply]
 
 
 def embed(rows: DataFrame, make: Callable[[], object], text: str = "text", out: str = "embedding") -> DataFrame:
@@ -68,12 +85,12 @@ def embed(rows: DataFrame, make: Callable[[], object], text: str = "text", out:
 
 
 def embed_cached(rows: DataFrame, cache: DataFrame, make: Callable[[], object], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows with embedding, cache with the new entries). cache(key, value array<float>), key: SHA-256 of the text."""
-    keyed = rows.withColumn("key", F.sha2(F.coalesce(text, F.lit("")), 256))
-    texts = keyed.groupBy("key").agg(F.first(F.coalesce(text, F.lit(""))).alias("_t"))
+    """(rows with embedding, cache with the new entries). cache(key, value array<float>), key: SHA-256 of the text.
 
-    def missing(keys: DataFrame) -> DataFrame:
-        return embed(texts.join(keys, "key"), make, "_t", "value").select("key", "value")
-
-    values = through_cache(keyed.select("key"), cache, "key", missing)
-    return keyed.join(values.withColumnRenamed("value", "embedding"), "key").drop("key"), cache.unionByName(values.join(cache.select("key"), "key", "left_anti"))
+    What is missing is embedded once, whatever is done with the two tables.
+    """
+    keyed = rows.withColumn("key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    texts = keyed.groupBy("key").agg(F.first(F.coalesce(text, F.lit(""))).alias("_t")).join(cache.select("key"), "key", "left_anti")
+    new = materialize(embed(texts, make, "_t", "value").select("key", "value"), "embedded")
+    values = cache.select("key", "value").unionByName(new)
+    return keyed.join(values.withColumnRenamed("value", "embedding"), "key").drop("key"), values

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def parse_imports(statements: DataFrame, code: str = "code") -> DataFrame:
-    """(file, alias, target, seq) of Python import statements.
+    """(file, alias, target, seq, item) of Python import statements; item counts the names of one.
 
     ``from m import a as b`` gives b -> m.a, ``import x.y as z`` gives z -> x.y, ``import x.y`` gives x.y -> x.y and, so that
     a use of the first part is found too, x -> x.
@@ -22,18 +22,18 @@ def parse_imports(statements: DataFrame, code: str = "code") -> DataFrame:
     own = F.struct(F.coalesce("renamed", "name").alias("alias"), target.alias("target"))
     head = F.regexp_extract("name", r"^([^.]+)", 1)
     first = F.when((F.col("m") == "") & F.col("renamed").isNull() & F.contains("name", F.lit(".")), F.array(own, F.struct(head.alias("alias"), head.alias("target")))).otherwise(F.array(own))
-    return x.select("file", (F.col("seq") * 1000 + F.col("i")).alias("seq"), F.explode(first).alias("e")).select("file", "e.alias", "e.target", "seq")
+    return x.select("file", "seq", F.col("i").alias("item"), F.explode(first).alias("e")).select("file", "e.alias", "e.target", "seq", "item")
 
 
 def resolve(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
     """refs(file, symbol) with fqn: the import of its first part, else the local definition, else the first module's that defines
     it, else module.symbol. Further parts are appended.
 
-    imports(file, alias, target, seq), defs(module, name, fqn, seq), files(file, module).
+    imports(file, alias, target, seq, item), defs(module, name, fqn, seq), files(file, module).
     """
     base = F.split_part("symbol", F.lit("."), F.lit(1))
     tail = F.substring("symbol", F.length(base) + 1, F.length("symbol"))
-    last = imports.groupBy(F.col("file").alias("_f"), F.col("alias").alias("_a")).agg(F.max_by("target", "seq").alias("_by_import"))
+    last = imports.groupBy(F.col("file").alias("_f"), F.col("alias").alias("_a")).agg(F.max_by("target", F.struct("seq", "item")).alias("_by_import"))
     local = defs.groupBy(F.col("module").alias("_m"), F.col("name").alias("_n")).agg(F.max_by("fqn", "seq").alias("_by_module"))
     modules = defs.groupBy("module").agg(F.min("seq").alias("at"))
     everywhere = local.join(modules, F.col("_m") == F.col("module")).groupBy(F.col("_n").alias("_g")).agg(F.min_by("_by_module", "at").alias("_by_name"))

@@ -5,20 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.session import materialize
+
 
 def audit_latest(log: DataFrame, n: int = 50, order: str = "id") -> DataFrame:
     return log.orderBy(F.desc(order)).limit(n)
 
 
-def append_numbered(stored: DataFrame, new: DataFrame, order: str, number: str = "id") -> DataFrame:
-    """New rows with numbers that follow the stored ones. The new rows, one append's, meet in one task."""
+def numbered(rows: DataFrame, *order: str, number: str = "_k") -> DataFrame:
+    """Rows with numbers from 1 in an order: range partitions, each counted on from those before."""
     from pyspark.sql import Window
 
+    x = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = x.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    # a row a partition
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    x = x.join(F.broadcast(parts.withColumn("_before", before)), F.col("_part") == F.col("_p"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return x.withColumn(number, F.col("_before") + at).drop("_part", "_p", "_c", "_before")
+
+
+def append_numbered(stored: DataFrame, new: DataFrame, order: str, number: str = "id") -> DataFrame:
+    """New rows with numbers that follow the stored ones."""
     last = stored.agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
-    x = new.withColumn("_k", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last), F.lit(True))
+    x = numbered(new, order).join(F.broadcast(last), F.lit(True))
     return x.withColumn(number, F.col("_last") + F.col("_k")).drop("_last", "_k").select(stored.columns)
 
 
+def append_message(stored: DataFrame, conv_id, role: str, text: str) -> DataFrame:
+    """A conversation table (conv_id, turn, role, text) with one more message at the end of a conversation."""
+    one = stored.where(F.col("conv_id") == conv_id).agg(F.coalesce(F.max("turn") + 1, F.lit(0)).alias("turn"))
+    kind = {f.name: f.dataType for f in stored.schema}
+    new = one.select(F.lit(conv_id).cast(kind["conv_id"]).alias("conv_id"), F.col("turn").cast(kind["turn"]).alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
+    return stored.select(new.columns).unionByName(new)
+
+
 def conversation_text(rows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, history): turns in order as 'User: ...' and 'Assistant: ...'."""
     who = F.concat(F.upper(F.left("role", F.lit(1))), F.substring("role", F.lit(2), F.length("role")))
@@ -27,13 +48,19 @@ def conversation_text(rows: DataFrame) -> DataFrame:
     return x.select("conv_id", F.size("l").cast("long").alias("n_turns"), F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("history"))
 
 
+# A repository's profile and questions before any are stored
+PROFILE = {"tech_stack": [], "primary_language": "Unknown", "architecture_style": "Monolith", "description": "No repository description provided.", "design_patterns": []}
+FAQS = (
+    ("How do I run the test suite?", "Run `pytest` using the command `PYTHONPATH=. ./venv/bin/pytest tests/` in the project root."),
+    ("How do I perform a full repository ingestion?", "Instantiate the `RepoIngestionPipeline` and call `ingest_repository(repo_url)`."),
+)
+
+
 def merge_profile(stored: DataFrame, updates: DataFrame) -> DataFrame:
     """(key, value): stored fields, overwritten by updates."""
     return updates.unionByName(stored.join(updates.select("key"), "key", "left_anti"))
 
 
-
-
 def rate_limit(events: DataFrame, most: int, seconds: int, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """(order, accepted): a call passes if fewer than ``most`` calls of its key passed within the last ``seconds``.
 

@@ -80,7 +80,7 @@ def validate_url(spark, sf_dir):
 
 
 def classify_intent(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(" ", F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("conv_id") % len(QUESTIONS) + 1).cast("int")), F.left("text", F.lit(40))).alias("q"))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(" ", F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("conv_id") % len(QUESTIONS) + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("q"))
     return c.unionByName(_values(spark, QUESTIONS, "q").select("q")).select("q", fn.intent("q").alias("intent"))
 
 
@@ -211,7 +211,7 @@ ORACLES = {
     "language_of_file": "SELECT path, language FROM (VALUES " + ", ".join([f"('dir.d/name{e}', '{l}')" for e, l in fn.LANGUAGES.items()] + ["('x.PY', NULL)", "('Makefile', NULL)", "('.py', NULL)", "('a.b.py', 'python')", "('dir.py/x', NULL)"]) + ") AS v(path, language)",
     "validate_url": f"""WITH u AS (SELECT url FROM pages UNION ALL SELECT url FROM {_sql_values(ADDRESSES, "url")})
         SELECT url, coalesce({" OR ".join(f"regexp_matches(url, '{p}')" for p in fn.REPO_ADDRESSES)}, false) AS valid FROM u""",
-    "classify_intent": f"""WITH v AS {_Q}, u AS (SELECT concat_ws(' ', v.q, left(text, 40)) AS q FROM conversations JOIN v ON conv_id % {len(QUESTIONS)} = v.id WHERE role = 'user' UNION ALL SELECT q FROM v) SELECT q, {_INTENT} AS intent FROM u""",
+    "classify_intent": f"""WITH v AS {_Q}, u AS (SELECT concat_ws(' ', v.q, coalesce(text, '')) AS q FROM conversations JOIN v ON conv_id % {len(QUESTIONS)} = v.id WHERE role = 'user' UNION ALL SELECT q FROM v) SELECT q, {_INTENT} AS intent FROM u""",
     "extract_function": f"""WITH u AS (SELECT q, regexp_replace(trim(q), '\\?+$', '') AS a FROM {_Q})
         SELECT q, coalesce({_HIT.format(r"(?i)where\s+is\s+(.+?)\s+used")}, {_HIT.format(r"(?i)who\s+calls\s+(.+)")}, {_HIT.format(r"(?i)([A-Za-z0-9_.]+)\s+used")}) AS function FROM u""",
     "extract_file": f"WITH u AS (SELECT q, regexp_replace(trim(q), '\\?+$', '') AS a FROM {_Q}) SELECT q, coalesce({_FILES}, {_HIT.format(r'([A-Za-z0-9_/.-]+\.py)')}) AS file FROM u",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as fn
 from tarn.operators import incremental, state
 from tarn.session import table
+from tarn.sources import files as source
 
 
 def _snapshots(spark, sf_dir):
@@ -52,7 +53,7 @@ def audit_latest(spark, sf_dir):
 
 def commit_latest(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10)
-    return o.select(F.format_string("Commit: %s\nAuthor: %s\nDate: %s", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("content"))
+    return o.select(source.commit_text(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderdate")).alias("content"))
 
 
 def conversation_history(spark, sf_dir):

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import clean_path, language_of
 
 # Folders that no scan enters
 PRUNED = (".git", "node_modules", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".mypy_cache", ".pytest_cache", "egg-info")
+# Names of a tree's readme, in order of precedence
 README_NAMES = ("README.md", "README.rst", "README.txt", "README")
 
 
-def pruned(path) -> F.col:
+def pruned(path, names: tuple[str, ...] = PRUNED) -> Column:
     parts = F.split(path, "/")
-    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*PRUNED))
+    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*names))
 
 
-def scan_tree(spark: SparkSession, root: str, supported_only: bool = True, extension: str | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, supported_only: bool = True, extension: str | None = None, prune: tuple[str, ...] = PRUNED) -> DataFrame:
     """(path relative to root, content, size, language) of the files below a folder that aren't empty (the binary source leaves those out). Sizes and paths are read without contents where these aren't asked for."""
     base = root.rstrip("/")
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
     x = x.withColumn("path", clean_path(F.when(F.startswith(rel, F.lit(base + "/")), F.substring(rel, F.lit(len(base) + 2), F.length(rel))).otherwise(rel)))
-    x = x.where(~pruned(F.col("path"))).withColumn("language", language_of("path"))
+    x = x.where(~pruned(F.col("path"), prune)).withColumn("language", language_of("path"))
     if extension:
         x = x.where(F.endswith("path", F.lit(extension)))
     return (x.where("language IS NOT NULL") if supported_only else x).select("path", "content", F.col("length").alias("size"), "language")
@@ -46,11 +47,16 @@ def readme(files: DataFrame) -> DataFrame:
     return x.select(F.col("text").alias("content"), F.col("path").alias("file_path"), F.lit("README").alias("symbol_name"), F.lit("readme").alias("symbol_type"))
 
 
+def commit_text(sha, author, time, message=None) -> Column:
+    """A commit as text; time: a timestamp."""
+    lines = [F.format_string("Commit: %s\nAuthor: %s\nDate: %s", sha, author, F.date_format(time, "yyyy-MM-dd HH:mm:ss"))]
+    return F.concat_ws("\nMessage: ", *lines, *([F.trim(message)] if message is not None else []))
+
+
 def commit_chunks(commits: DataFrame, n: int = 10) -> DataFrame:
     """The latest commits (sha, author, time in epoch seconds, message) as chunks."""
     x = commits.orderBy(F.desc("time"), "sha").limit(n)
-    when = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd HH:mm:ss")
-    content = F.format_string("Commit: %s\nAuthor: %s\nDate: %s\nMessage: %s", "sha", "author", when, F.trim("message"))
+    content = commit_text("sha", "author", F.timestamp_seconds("time"), "message")
     return x.select(content.alias("content"), F.concat(F.lit("commits/"), "sha").alias("file_path"), F.concat(F.lit("commit "), F.left("sha", F.lit(7))).alias("symbol_name"), F.lit("github_commit").alias("symbol_type"))
 
 

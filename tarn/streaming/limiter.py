@@ -15,13 +15,17 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Limiter(StatefulProcessor):
-    """At most ``most`` accepted calls of a key within ``seconds``; rejected calls leave no trace. State per key: at most ``most`` times."""
+    """At most ``most`` accepted calls of a key within ``seconds``; rejected calls leave no trace. State per key: at most ``most`` times.
+
+    Times are those of the events, so nothing is forgotten by the clock of the machine: a pause or a slow replay changes
+    no result. Rows of one key must come in order over batches, as the log's own order is.
+    """
 
     def __init__(self, most: int, seconds: int):
         self.most, self.span = most, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", StructType([StructField("t", ArrayType(LongType()))]), self.span // 1000 * 2)
+        self.times = handle.getValueState("times", StructType([StructField("t", ArrayType(LongType()))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["us", "event_id"])
@@ -42,4 +46,4 @@ class Limiter(StatefulProcessor):
 def limited(events: DataFrame, most: int, seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """events (streaming) to (key, event_id, accepted). The session's state store must be STORE."""
     x = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), "event_id")
-    return x.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(most, seconds), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
+    return x.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(most, seconds), outputStructType=OUT, outputMode="Append", timeMode="None")

@@ -30,20 +30,47 @@ def test_embedding_cache_asks_for_misses_only(spark):
     assert {r["id"]: r["embedding"] for r in again.collect()} == got
 
 
-def test_retries_are_bounded():
+def test_each_text_is_embedded_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    class Counting:
+        def embed_texts(self, texts):
+            import uuid
+
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(texts))
+            return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "bb")], "id long, text string")
+    first, cache = embed.embed_cached(rows, spark.createDataFrame([], "key string, value array<float>"), Counting)
+    assert {r["id"]: r["embedding"] for r in first.collect()} == {1: [1.0], 2: [2.0], 3: [2.0]} and cache.count() == 2 and first.count() == 3
+    assert sorted(t for p in tmp_path.iterdir() for t in p.read_text().split("\n") if t) == ["a", "bb"]
+
+
+def test_transient_failures_are_repeated_and_others_not():
     class Flaky:
-        def __init__(self, fails):
-            self.fails = fails
+        def __init__(self, fails, error):
+            self.fails, self.error, self.calls = fails, error, 0
 
         def embed_texts(self, texts):
+            self.calls += 1
             self.fails -= 1
             if self.fails >= 0:
-                raise RuntimeError("quota")
-            return [[1.0] for _ in texts]
-
-    assert embed.Retrying(Flaky(2), wait=0).embed_texts(["a"] * 3) == [[1.0]] * 3
-    with pytest.raises(RuntimeError):
-        embed.Retrying(Flaky(9), wait=0).embed_texts(["a"])
+                raise self.error("quota")
+            return [{"embedding": [1]} for _ in texts]
+
+    pace = lambda: embed.Pace(wait=0)
+    assert embed.Paced(Flaky(2, embed.Transient), pace=pace()).embed_texts(["a"] * 3) == [[1.0]] * 3
+    with pytest.raises(embed.Transient):
+        embed.Paced(Flaky(9, embed.Transient), pace=pace()).embed_texts(["a"])
+    bad = Flaky(9, ValueError)
+    with pytest.raises(ValueError):
+        embed.Paced(bad, pace=pace()).embed_texts(["a"])
+    assert bad.calls == 1
+    now, slept = [0.0], []
+    slow = embed.Pace(gap=6.5, clock=lambda: now[0], sleep=slept.append)
+    embed.Paced(Flaky(0, ValueError), size=1, pace=slow).embed_texts(["a", "b"])
+    assert slept == [0.0, 6.5]
 
 
 def test_scan_prunes_and_tree_is_bounded(spark, tmp_path):
