@@ -95,3 +95,14 @@ def access(requests: DataFrame, keys: DataFrame) -> DataFrame:
     x = requests.join(keys.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t"), "left")
     status = F.when(F.coalesce("token", F.lit("")) == "", 401).when(F.col("role").isNull(), 403).when(F.array_contains("allowed", F.col("role")), 200).otherwise(403)
     return x.withColumn("status", status).drop("_t")
+
+
+def gate(requests: DataFrame, keys: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
+    """requests(event_id, token, ts, allowed array) with status: 401 or 403 by key and role, else 429 beyond ``most`` requests of a token in ``seconds``, else 200.
+
+    Requests that key or role refuse don't count to the limit.
+    """
+    x = access(requests, keys)
+    passed = rate_limit(x.where("status = 200"), most, seconds, key="token")
+    y = x.join(passed.withColumnRenamed("event_id", "_e"), F.col("event_id") == F.col("_e"), "left")
+    return y.withColumn("status", F.when((F.col("status") == 200) & ~F.col("accepted"), 429).otherwise(F.col("status"))).drop("_e", "accepted")

@@ -128,7 +128,9 @@ def resolve_symbols(spark, sf_dir):
 
 
 def parse_python(spark, sf_dir):
-    return parse.parse_symbols(tree(spark).where("language = 'python'"), "Demo").select("file_path", "name", "type", "start_line", "end_line", "parent_class", "fqn", "symbol_id")
+    more = spark.createDataFrame([("pkg/doc.py", '"""Module."""\nclass A:\n    """Of A."""\n    async def f(self):\n        """Of f."""\n        def inner(): pass\n', "python"), ("pkg/bad.py", "def broken(:", "python")], "path string, text string, language string")
+    files = tree(spark).where("language = 'python'").unionByName(more)
+    return parse.parse_symbols(files, "Demo").select("file_path", "name", "type", "start_line", "end_line", "docstring", "parent_class", "fqn", "symbol_id")
 
 
 def parse_javascript(spark, sf_dir):
@@ -139,6 +141,20 @@ def parse_line_languages(spark, sf_dir):
     return parse.parse_symbols(tree(spark).where("language IN ('java', 'rust')"), "Demo").select("file_path", "name", "type", F.col("start_line").cast("long").alias("start_line"), "parent_class", "fqn")
 
 
+MORE = (
+    ("m.go", "go", 'import "fmt"\ntype Point struct {\n}\nfunc (p Point) Len() int {\n}\n'),
+    ("a.cs", "c_sharp", "using System.Text;\npublic class Größe {\n    public int Get(int x) {\n        if (x > 0) {\n"),
+    ("b.cpp", "cpp", "#include <vector>\nint twice(int n) {\nstruct Box {\n  void open() const {\n"),
+    ("c.kt", "kotlin", "import a.b\nfun no() {}\ndef yes()\ninterface Shape\nfunc area()\n"),
+)
+
+
+def parse_more_languages(spark, sf_dir):
+    """Go, C#, C++ and a language without patterns of its own."""
+    files = spark.createDataFrame(list(MORE), "path string, language string, text string")
+    return parse.parse_symbols(files, "Demo").select("file_path", "name", "type", F.col("start_line").cast("long").alias("start_line"), "parent_class", "fqn")
+
+
 def symbol_chunks(spark, sf_dir):
     s = parse.parse_symbols(tree(spark), "Demo")
     return chunk.chunks_from_symbols(s, "Demo").select("id", "symbol_name", "symbol_type", "file_path", "start_line", "end_line", "parent_chunk_id", F.md5("content").alias("content_md5"))
@@ -175,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_repo_id, normalize_path, module_name, fqn, symbol_id, chunk_id, embedding_text, language_of_file, validate_url, classify_intent, extract_function, extract_file, split_overlapping,
-        merge_first_last, chunk_with_header, parent_link, resolve_symbols, parse_python, parse_javascript, parse_line_languages, symbol_chunks, knowledge_graph, knowledge_nodes, call_graph, dependency_graph, code_callers,
+        merge_first_last, chunk_with_header, parent_link, resolve_symbols, parse_python, parse_javascript, parse_line_languages, parse_more_languages, symbol_chunks, knowledge_graph, knowledge_nodes, call_graph, dependency_graph, code_callers,
     )
 }
 
@@ -229,3 +245,83 @@ ORACLES = {
         ('src/Main.java', 'size', 'method', 4, 'Main', 'src.Main.Main.size'), ('src/lib.rs', 'use std::fmt;', 'import', 1, NULL, 'src.lib.imports'), ('src/lib.rs', 'Point', 'class', 2, NULL, 'src.lib.Point'), ('src/lib.rs', 'new', 'method', 4, 'Point', 'src.lib.Point.new'))
         AS v(file_path, name, type, start_line, parent_class, fqn)""",
 }
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def values(names: str, rows, select: str = "*") -> str:
+    """SQL of a small table of constants."""
+    return f"SELECT {select} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS given({names})"
+
+
+#: What the fixed tree holds: (file, name, type, first line, last line, docstring, class, module, code)
+_PY = (
+    ("pkg/app.py", "import os", "import", 1, 1, None, None, "pkg.app", "import os"),
+    ("pkg/app.py", "from pkg.base import Base, helper as h", "import", 2, 2, None, None, "pkg.app", "from pkg.base import Base, helper as h"),
+    ("pkg/app.py", "App", "class", 4, 8, None, None, "pkg.app", "class App(Base):\n    def start(self):\n        n = h()\n        self.run()\n        return n"),
+    ("pkg/app.py", "start", "method", 5, 8, None, "App", "pkg.app", "def start(self):\n        n = h()\n        self.run()\n        return n"),
+    ("pkg/app.py", "main", "function", 11, 12, None, None, "pkg.app", "def main():\n        App().start()"),
+    ("pkg/base.py", "Base", "class", 1, 3, None, None, "pkg.base", "class Base:\n    def run(self):\n        return helper()"),
+    ("pkg/base.py", "run", "method", 2, 3, None, "Base", "pkg.base", "def run(self):\n        return helper()"),
+    ("pkg/base.py", "helper", "function", 5, 6, None, None, "pkg.base", "def helper():\n    return 1"),
+)
+_JS = (
+    ("web/ui.js", "import x from 'y';", "import", 1, 1, None, None, "web.ui", "import x from 'y';"),
+    ("web/ui.js", "add", "function", 3, 3, "/** Adds. */", None, "web.ui", "export function add(a, b) { return a + b; }"),
+    ("web/ui.js", "twice", "function", 4, 4, None, None, "web.ui", "const twice = (n) => { return n * 2; }"),
+    ("web/ui.js", "Box", "class", 5, 7, None, None, "web.ui", "class Box {\n  open(k) { if (k) { return '}'; } }\n}"),
+    ("web/ui.js", "open", "method", 6, 6, None, "Box", "web.ui", "open(k) { if (k) { return '}'; } }"),
+)
+_LINES = (
+    ("src/Main.java", "import java.util.List;", "import", 1, 1, None, None, "src.Main", "import java.util.List;"),
+    ("src/Main.java", "import java.io.*;", "import", 2, 2, None, None, "src.Main", "import java.io.*;"),
+    ("src/Main.java", "Main", "class", 3, 3, None, None, "src.Main", "public class Main {"),
+    ("src/Main.java", "size", "method", 4, 4, None, "Main", "src.Main", "    public static int size(List x) {"),
+    ("src/lib.rs", "use std::fmt;", "import", 1, 1, None, None, "src.lib", "use std::fmt;"),
+    ("src/lib.rs", "Point", "class", 2, 2, None, None, "src.lib", "pub struct Point;"),
+    ("src/lib.rs", "new", "method", 4, 4, None, "Point", "src.lib", "    pub fn new() -> Point {"),
+)
+_DOC = (("pkg/doc.py", "A", "class", 2, 6, "Of A.", None, "pkg.doc", ""), ("pkg/doc.py", "f", "method", 4, 6, "Of f.", "A", "pkg.doc", ""))
+_FIELDS = "file_path, name, type, start_line, end_line, docstring, parent_class, module, code"
+_FQN = "CASE WHEN type = 'import' THEN module || '.imports' ELSE concat_ws('.', module, parent_class, name) END"
+_CODE_ID = "left(sha256('demo:' || file_path || ':' || fqn || ':' || start_line), 16)"
+_CHUNKS = f"""WITH s AS ({values(_FIELDS, _PY + _JS + _LINES, f"*, {_FQN} AS fqn")}),
+    i AS (SELECT file_path, count(*) AS n, string_agg(code, chr(10) ORDER BY start_line) AS codes, min(start_line) AS start_line, max(end_line) AS end_line, any_value(fqn) AS fqn FROM s WHERE type = 'import' GROUP BY 1),
+    c AS (SELECT fqn AS class_fqn, {_CODE_ID} AS class_id FROM s WHERE type = 'class'),
+    b AS (SELECT s.*, CASE WHEN n > 0 THEN '// Dependency imports:' || chr(10) || codes || chr(10) || chr(10) ELSE '' END
+        || CASE type WHEN 'method' THEN '// Context: Method ''' || name || ''' of class ''' || parent_class || '''' WHEN 'class' THEN '// Context: Class ''' || name || '''' ELSE '// Context: Function ''' || name || '''' END || chr(10) || code AS content,
+        CASE WHEN type = 'method' THEN class_id END AS parent_chunk_id FROM s LEFT JOIN i USING (file_path) LEFT JOIN c ON class_fqn = concat_ws('.', module, parent_class) AND type = 'method' WHERE type <> 'import')
+    SELECT {_CODE_ID} AS id, name AS symbol_name, type AS symbol_type, file_path, start_line, end_line, parent_chunk_id, md5(content) AS content_md5 FROM b
+    UNION ALL SELECT {_CODE_ID}, 'imports (' || n || ' statements)', 'import', file_path, start_line, end_line, NULL, md5(codes) FROM i"""
+EDGES = (
+    ("pkg.app", "pkg.app.App", "contains"), ("pkg.app", "pkg.app.main", "contains"), ("pkg.app.App", "pkg.app.App.start", "contains"), ("pkg.app.App.start", "pkg.app.App.start.n", "contains"),
+    ("pkg.base", "pkg.base.Base", "contains"), ("pkg.base", "pkg.base.helper", "contains"), ("pkg.base.Base", "pkg.base.Base.run", "contains"),
+    ("src.Main", "src.Main.Main", "contains"), ("src.Main.Main", "src.Main.Main.size", "contains"), ("src.lib", "src.lib.Point", "contains"), ("src.lib.Point", "src.lib.Point.new", "contains"),
+    ("web.ui", "web.ui.Box", "contains"), ("web.ui", "web.ui.add", "contains"), ("web.ui", "web.ui.twice", "contains"), ("web.ui.Box", "web.ui.Box.open", "contains"),
+    ("pkg.app.App.start", "pkg.base.helper", "calls"), ("pkg.app.App.start", "pkg.app.App.run", "calls"), ("pkg.app.main", "pkg.app.App", "calls"), ("pkg.app.main", "pkg.app.start", "calls"), ("pkg.base.Base.run", "pkg.base.helper", "calls"),
+    ("pkg.app.App", "pkg.base.Base", "inherits"), ("pkg.app", "pkg.base", "imports"),
+)
+NODES = (
+    *((m, "module", f) for m, f in (("pkg.app", "pkg/app.py"), ("pkg.base", "pkg/base.py"), ("src.Main", "src/Main.java"), ("src.lib", "src/lib.rs"), ("web.ui", "web/ui.js"))),
+    *((".".join(x for x in (r[7], r[6], r[1]) if x), r[2], r[0]) for r in _PY + _JS + _LINES if r[2] != "import"),
+    ("pkg.app.App.start.n", "variable", "pkg/app.py"), ("pkg.app.App.run", "external", None), ("pkg.app.start", "external", None),
+)
+_MORE = (
+    ("m.go", 'import "fmt"', "import", 1, None, "m.imports"), ("m.go", "Point", "class", 2, None, "m.Point"), ("m.go", "Len", "method", 4, "Point", "m.Point.Len"),
+    ("a.cs", "using System.Text;", "import", 1, None, "a.imports"), ("a.cs", "Größe", "class", 2, None, "a.Größe"), ("a.cs", "Get", "method", 3, "Größe", "a.Größe.Get"),
+    ("b.cpp", "#include <vector>", "import", 1, None, "b.imports"), ("b.cpp", "twice", "function", 2, None, "b.twice"), ("b.cpp", "Box", "class", 3, None, "b.Box"), ("b.cpp", "open", "method", 4, "Box", "b.Box.open"),
+    ("c.kt", "import a.b", "import", 1, None, "c.imports"), ("c.kt", "yes", "function", 3, None, "c.yes"), ("c.kt", "Shape", "class", 4, None, "c.Shape"), ("c.kt", "area", "method", 5, "Shape", "c.Shape.area"),
+)
+ORACLES |= {
+    "parse_python": values(_FIELDS, _PY + _DOC, f"file_path, name, type, start_line, end_line, docstring, parent_class, {_FQN} AS fqn, 'demo:' || file_path || ':' || {_FQN} || ':' || start_line AS symbol_id"),
+    "parse_javascript": values(_FIELDS, _JS, f"file_path, name, type, start_line, end_line, docstring, parent_class, {_FQN} AS fqn"),
+    "parse_more_languages": values("file_path, name, type, start_line, parent_class, fqn", _MORE, "* REPLACE (start_line::BIGINT AS start_line)"),
+    "symbol_chunks": _CHUNKS,
+    "knowledge_graph": values("src, dst, type", EDGES),
+    "knowledge_nodes": values("id, type, file_path", NODES),
+    "call_graph": values("src, dst, file_path", (("pkg.app.App.start", "h", "pkg/app.py"), ("pkg.app.App.start", "run", "pkg/app.py"), ("pkg.app.main", "App", "pkg/app.py"), ("pkg.app.main", "pkg.app.App.start", "pkg/app.py"), ("pkg.base.Base.run", "pkg.base.helper", "pkg/base.py"))),
+    "dependency_graph": values("src, dst, type", (("pkg/app.py", "pkg/base.py", "imports"),)),
+    "code_callers": values("name, id", (("helper", "pkg.app.App.start"), ("helper", "pkg.base.Base.run"), ("run", "pkg.app.App.start"), ("start", "pkg.app.main"))),
+}

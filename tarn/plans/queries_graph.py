@@ -132,5 +132,5 @@ ORACLES = {
     "directory_tree": """WITH p AS (SELECT DISTINCT string_split(path, '/') AS a FROM (SELECT regexp_extract(url, '^[a-z]+://([^?#]*[^?#/])', 1) AS path FROM pages) WHERE path <> ''),
         e AS (SELECT DISTINCT array_to_string(a[1:i - 1], '/') AS dir, a[i] AS name, i < len(a) AS is_dir, i - 1 AS depth FROM p, unnest(range(1, len(a) + 1)) AS t(i)),
         k AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, name) AS pos, count(*) OVER (PARTITION BY dir) AS n FROM e WHERE depth <= 3)
-        SELECT dir || '/' || lpad(pos::VARCHAR, 6, '0') AS tree_path, repeat('  ', depth) || CASE WHEN pos > 5 THEN '... (' || (n - 5) || ' more)' ELSE name || CASE WHEN is_dir THEN '/' ELSE '' END END AS line FROM k WHERE pos <= 6""",
+        SELECT CASE WHEN dir = '' THEN '' ELSE array_to_string(list_transform(string_split(dir, '/'), lambda p: '0' || p), chr(1)) || chr(1) END || CASE WHEN pos > 5 THEN '2' ELSE CASE WHEN is_dir THEN '0' ELSE '1' END || name END AS tree_path, repeat('  ', depth) || CASE WHEN pos > 5 THEN '... (' || (n - 5) || ' more)' ELSE name || CASE WHEN is_dir THEN '/' ELSE '' END END AS line FROM k WHERE pos <= 6""",
 }

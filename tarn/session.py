@@ -36,6 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What can be set as spark.tarn.<name>, with the values taken otherwise.
+DEFAULTS = {"top_k": 5, "seeds": 20, "expanded": 50, "rerank": True, "requests": 60, "request_seconds": 60, "embed_batch": 20, "embed_gap": 6.5, "chunk_lines": 300, "chunk_overlap": 30}
+
+
+def settings(spark: SparkSession) -> dict:
+    """The session's settings, of the types of DEFAULTS."""
+    out = {}
+    for name, usual in DEFAULTS.items():
+        given = spark.conf.get(f"spark.tarn.{name}", None)
+        out[name] = usual if given is None else given.lower() == "true" if isinstance(usual, bool) else type(usual)(given)
+    return out
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores where a scan has fewer splits than that (a small table in one row group); large tables stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism

@@ -100,7 +100,9 @@ def directory_tree(paths: DataFrame, path: str = "path", depth: int = 5, per_dir
     w = Window.partitionBy("dir").orderBy(F.desc("is_dir"), "name")
     x = x.withColumns({"pos": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("dir"))}).where(F.col("pos") <= per_dir + 1)
     text = F.when(F.col("pos") > per_dir, F.concat(F.lit("... ("), (F.col("n") - per_dir).cast("string"), F.lit(" more)"))).otherwise(F.concat("name", F.when(F.col("is_dir"), "/").otherwise("")))
-    order = F.concat("dir", F.lit("/"), F.lpad(F.col("pos").cast("string"), 6, "0"))
+    # folders before files before the rest, on each level, so that a folder's entries follow it
+    above = F.when(F.col("dir") == "", "").otherwise(F.concat(F.array_join(F.transform(F.split("dir", "/"), lambda p: F.concat(F.lit("0"), p)), "\x01"), F.lit("\x01")))
+    order = F.concat(above, F.when(F.col("pos") > per_dir, "2").otherwise(F.concat(F.when(F.col("is_dir"), "0").otherwise("1"), "name")))
     return x.select(order.alias("tree_path"), F.concat(F.repeat(F.lit("  "), F.col("depth")), text).alias("line"))
 
 

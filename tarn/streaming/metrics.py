@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+#: Upper bounds in seconds of a latency histogram's buckets.
+BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
+
+def histogram(rows: DataFrame, seconds: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """(bound, n): rows at or below each bound, and all (bound null). One pass, a row of counts a task."""
+    x = rows.agg(*[F.count_if(F.col(seconds) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(seconds).alias("b"))
+    cells = [F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]
+    return x.select(F.explode(F.array(*cells, F.struct(F.lit(None).cast("double").alias("bound"), F.col("b").alias("n")))).alias("c")).select("c.*")
+
 
 class Counters(StreamingQueryListener):
     """spark.streams.addListener(Counters()): totals by query name."""
