@@ -133,6 +133,77 @@ def test_substring_against_brute_force(spark):
         assert got == brute_windows(docs)
 
 
+def greedy(docs, window=20):
+    """Plain greedy parse of one block: at each place the first earlier stand of the window, followed as far as it is the first stand of each next one."""
+    first, out = {}, set()
+    for doc, text in docs:
+        w = re.findall(WORD, text or "")
+        at = [first.setdefault(tuple(w[i : i + window]), (doc, i)) for i in range(len(w) - window + 1)]
+        i = 0
+        while i < len(at):
+            if at[i] == (doc, i):
+                i += 1
+                continue
+            k = 1
+            while i + k < len(at) and at[i + k] == (at[i][0], at[i][1] + k) and at[i + k] != (doc, i + k):
+                k += 1
+            out.add((doc, i, k + window - 1, *at[i]))
+            i += k
+    return out
+
+
+def test_factors_equal_a_plain_greedy_parse(spark):
+    for seed in (11, 12):
+        docs = random_docs(seed)
+        got = {tuple(r) for r in sub.parse(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == greedy(docs)
+
+
+def test_factors_over_blocks_stand_where_they_say(spark, monkeypatch):
+    docs = random_docs(13, 90)
+    words = {d: re.findall(WORD, t or "") for d, t in docs}
+    gone = {d: set() for d in words}
+    for r in sub.parse(spark.createDataFrame(docs, "doc_id long, text string").repartition(9)).collect():
+        a, z = r["start"], r["source_start"]
+        assert r["words"] >= 20 and (r["source_doc"], z) < (r["doc_id"], a)
+        assert words[r["doc_id"]][a : a + r["words"]] == words[r["source_doc"]][z : z + r["words"]]
+        gone[r["doc_id"]].update(range(a, a + r["words"]))
+    assert {d: len(g) for d, g in gone.items()} == {d: n for d, (_, n, _) in brute_windows(docs).items()}
+
+
+def test_a_common_line_gathers_nowhere(spark):
+    """A 12-word line with other neighbours each time: a block says once that its anchors are shared; results stay right."""
+    rng = random.Random(14)
+    line = [f"line{i}" for i in range(12)]
+    docs = []
+    for i in range(400):
+        around = [[f"w{rng.randint(0, 3)}" for _ in range(rng.randint(4, 12))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + line + around[1])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sub.substring_dedup(df).collect()}
+    assert got == brute_windows(docs)
+    rows = sub.places(df).mapInArrow(sub._emit_phrases(20, 8), sub.ROW_SQL).where("NOT settled").groupBy("anchor").count()
+    assert rows.agg({"count": "max"}).first()[0] <= 4 * sub.HOT
+
+
+def test_the_stream_of_phrases_needs_no_whole_anchor():
+    """Batches of any size give the same rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    rows = sorted({(int(rng.integers(0, 30)), int(rng.integers(0, 3)), int(rng.integers(0, 50)), 0, int(rng.integers(0, 9)), 2) for _ in range(300)} | {(3, int(sub.FIRST), 0, 0, 0, 0), (99, 1, 1, 0, 0, 2)})
+
+    def run(step):
+        out = []
+        for i in range(0, len(rows), step):
+            cols = list(zip(*rows[i : i + step], strict=True))
+            out.append(pa.record_batch([pa.array([False] * len(cols[0])), *(pa.array(c, f.type) for c, f in zip(cols, list(sub.ROW)[1:], strict=True))], schema=sub.ROW))
+        return sorted(tuple(r.values()) for b in sub._match(out) for r in b.to_pylist())
+
+    assert run(1000) == run(1) == run(7) and len(run(1000)) > 200
+
+
 def test_substring_odd_rows(spark, odd_docs, no_docs):
     got = sub.substring_dedup(odd_docs, keep_text=True).collect()
     assert len(got) == odd_docs.count()
