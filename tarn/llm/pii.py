@@ -1,12 +1,15 @@
 r"""Personal data by weak supervision, in DataFrame expressions only.
 
-Base spans come from patterns with checks (email, ip, card, phone) and always stay. The method adds spans of two more
-kinds: ``secret`` (a run of 16 or more letters and digits, with a digit) and ``number`` (9 or more digits in groups).
-Each candidate gets votes (yes, no, abstain) of labelers: two shape labelers (regex), a gazetteer of cue words and a context
-labeler of what stands around it. Expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates each labeler's reliability and each pattern's probability; these soft labels train a naive Bayes classifier
-of the candidate's features, which decides. Patterns and features are small integers, so the tables that the
-estimation works on have at most PATTERNS and FEATURES rows, whatever the corpus.
+Base spans come from patterns with checks (email, ip, card, phone) and always stay. The method adds spans of three more
+kinds: ``secret`` (a run of 16 or more letters and digits, with a digit), ``number`` (9 or more digits in groups) and
+``iban`` (two letters, two digits and 11 to 30 more characters). Each candidate gets votes (yes, no, abstain) of
+labelers: two shape labelers (regex and checksums), a gazetteer and a context labeler of what stands around it. The
+gazetteer looks up the words before a candidate among known names of accounts, secrets and papers in four languages and
+among harmless ones, and the country of an iban and the calling code of a number among the known ones.
+Expectation-maximisation over the counts of vote patterns of the whole corpus estimates each labeler's reliability and
+each pattern's probability; these soft labels train a naive Bayes classifier of the candidate's features, which decides.
+Patterns and features are small integers, so the tables that the estimation works on have at most PATTERNS and FEATURES
+rows, whatever the corpus. Candidates that overlap a base span are dropped, found by binary search among the spans.
 
 Places are code points: a text is split at a pattern's matches, and the lengths of gaps and matches are summed up, in
 runs of RUN matches so that the work stays in proportion to a text with very many matches. Patterns have no
@@ -19,12 +22,15 @@ is added; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize
 
-KINDS = ("email", "ip", "card", "phone", "secret", "number")
+KINDS = ("email", "ip", "card", "phone", "secret", "number", "iban")
 PATTERN = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -32,12 +38,26 @@ PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
     "number": r"(?<![0-9+])\(?[0-9](?:[)\x20./-]{0,2}+[0-9]){8,}+",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9_])",
 }
 RUN, EM_STEPS, ACCEPT = 256, 40, 0.5
 LABELERS = ("shape", "strict", "gazetteer", "context")
-PATTERNS, FEATURES = 3 ** len(LABELERS), 512
-CUES = r"(?i)(token|secret|passw|api[_ -]?key|\bkey\b|\bpin\b|phone|\btel|mobile|call|card|visa|iban|account|konto|compte|cuenta|ssn|passport)[^A-Za-z0-9]{0,6}$"
-BENIGN = r"(?i)(version|licen[cs]e|isbn|issn|page|section|year|https?|sha1|commit)[^A-Za-z0-9]{0,6}$"
+PATTERNS, FEATURES = 3 ** len(LABELERS), 1024
+#: Gazetteer: words that name a secret, a paper or an account, and words that name something harmless
+CUES = (
+    "token", "secret", "password", "passwd", "passwort", "contrasena", "key", "apikey", "api", "auth", "bearer", "credential", "pin", "login",
+    "phone", "tel", "telephone", "telefon", "telefono", "mobile", "handy", "movil", "portable", "call", "fax", "whatsapp",
+    "card", "visa", "mastercard", "amex", "tarjeta", "carte", "karte", "kreditkarte", "iban", "bic", "account", "konto", "kontonummer", "compte", "cuenta",
+    "ssn", "passport", "pasaporte", "passeport", "reisepass", "ausweis", "dni", "nif", "license", "insurance", "patient", "customer", "kundennummer",
+)
+HARMLESS = ("version", "licence", "isbn", "issn", "page", "section", "chapter", "year", "http", "https", "sha", "sha1", "sha256", "md5", "commit", "build", "revision", "checksum", "hash", "uuid", "lines", "doi", "figure", "table")
+#: Gazetteer: countries whose accounts have an iban
+COUNTRIES = (
+    "AD", "AE", "AL", "AT", "AZ", "BA", "BE", "BG", "BH", "BR", "CH", "CR", "CY", "CZ", "DE", "DK", "DO", "EE", "ES", "FI", "FO", "FR", "GB", "GE", "GI", "GL", "GR", "GT", "HR", "HU", "IE", "IL", "IS", "IT", "JO", "KW", "KZ", "LB", "LI",
+    "LT", "LU", "LV", "MC", "MD", "ME", "MK", "MR", "MT", "MU", "NL", "NO", "PK", "PL", "PS", "PT", "QA", "RO", "RS", "SA", "SE", "SI", "SK", "SM", "TN", "TR", "UA", "VG", "XK",
+)
+#: Gazetteer: calling codes
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "380", "420", "421", "971", "972")
 
 
 def _digits(s: Column) -> Column:
@@ -52,6 +72,30 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def mod97(s: Column) -> Column:
+    """Whether an iban's check digits hold."""
+    c = F.regexp_replace(s, " ", "")
+    turned = F.concat(F.substring(c, F.lit(5), F.length(c)), F.left(c, F.lit(4)))
+    value = lambda ch: F.when(ch.rlike("[0-9]"), ch.cast("int")).otherwise(F.ascii(ch) - 55)
+    step = lambda acc, ch: (acc * F.when(value(ch) > 9, 100).otherwise(10) + value(ch)) % 97
+    return F.aggregate(F.filter(F.split(turned, ""), lambda ch: ch != ""), F.lit(0), step) == 1
+
+
+def overlaps(spans: Column, c: Column) -> Column:
+    """Whether a span of an array (in order, apart from each other) meets c: binary search for the first that ends beyond c's start."""
+    n = F.size(spans)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2((n + 1).cast("double"))).cast("int"))
+
+    def step(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        beyond = F.get(spans, middle)["end"] > c["start"]
+        open_ = state["lo"] < state["hi"]
+        return F.struct(F.when(open_ & ~beyond, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(open_ & beyond, middle).otherwise(state["hi"]).alias("hi"))
+
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda x: x["lo"])
+    return F.when(n == 0, False).otherwise(F.coalesce(F.get(spans, at)["start"] < c["end"], F.lit(False)))
+
+
 def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -67,7 +111,7 @@ def valid(kind: str, match: Column) -> Column:
 def hint(kind: str) -> Column:
     """A cheap test that a text with a match passes."""
     text = F.col("text")
-    return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
+    return {"email": text.contains("@"), "phone": text.contains("+"), "iban": text.rlike("[A-Z]{2}[0-9]{2}")}.get(kind, text.rlike("[0-9]"))
 
 
 def _sums(lengths: Column, start: Column) -> Column:
@@ -104,18 +148,29 @@ def candidate(kind: str, text: Column, c: Column) -> Column:
     match, before = c["match"], F.substring(text, F.greatest(c["start"] - 24, F.lit(0)) + 1, F.least(c["start"], F.lit(24)))
     after = F.substring(text, c["end"] + 1, F.lit(2))
     length, digits = F.length(match), F.length(_digits(match))
+    words = F.regexp_extract_all(F.lower(before), F.lit(r"\p{L}+"), F.lit(0))
+    near = F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+    cue = F.arrays_overlap(near, F.array(*[F.lit(w) for w in CUES]))
+    harmless = F.arrays_overlap(near, F.array(*[F.lit(w) for w in HARMLESS]))
     if kind == "secret":
         shape = _vote(match.rlike("^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$") | (length >= 32), match.rlike("^(.)\\1+$") | (digits == length))
         strict = _vote(digits.between(length * 0.2, length * 0.85) & match.rlike("[A-Za-z]"), digits < length * 0.1)
+        known = F.lit(False)
+    elif kind == "iban":
+        shape = _vote(F.length(F.regexp_replace(match, " ", "")).between(15, 34), digits < length * 0.3)
+        strict = _vote(mod97(match), ~mod97(match))
+        known = F.left(match, F.lit(2)).isin(*COUNTRIES)
     else:
         shape = _vote(digits.between(12, 19) | match.rlike(r"^\(?[0-9]{3}[) .-]{1,2}+[0-9]{3}[ .-][0-9]{4}$"), match.rlike(r"^[0-9]{1,4}(?:[./][0-9]{1,4})++$"))
         strict = _vote(F.when(digits.between(12, 19), luhn(_digits(match))).otherwise(False), digits > 19)
-    gazetteer = _vote(before.rlike(CUES), before.rlike(BENIGN))
+        code = F.regexp_extract(match, r"^00([0-9]{1,3})[ -]", 1)
+        known = code.isin(*CALLING)
+    gazetteer = _vote(cue | known, harmless)
     context = _vote(before.rlike("[=:]\\s*[\"']?$") | after.rlike("^[\"']"), before.rlike("[A-Za-z0-9]$") & after.rlike("^[A-Za-z0-9]"))
     votes = ((shape * 3 + strict) * 3 + gazetteer) * 3 + context
     size = F.least(F.floor(F.log2(length.cast("double"))), F.lit(7)).cast("int")
     share = F.least(F.floor(digits * 4 / length), F.lit(3)).cast("int")
-    features = ((F.lit(int(kind == "number")) * 8 + size) * 4 + share) * 8 + before.rlike(CUES).cast("int") * 4 + before.rlike("[=:]\\s*[\"']?$").cast("int") * 2 + after.rlike("^[\"']").cast("int")
+    features = ((F.lit(KINDS.index(kind) - 4) * 8 + size) * 4 + share) * 8 + (cue | known).cast("int") * 4 + before.rlike("[=:]\\s*[\"']?$").cast("int") * 2 + after.rlike("^[\"']").cast("int")
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), votes.cast("int").alias("votes"), features.cast("int").alias("features"))
 
 
@@ -125,12 +180,20 @@ def spans_and_candidates(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         x = with_matches(x, kind)
 
+
+    def passing(kind: str) -> Column:
+        return F.filter(f"m_{kind}", lambda c: valid(kind, c["match"]))
+
+    x = x.withColumns({f"m_{k}": passing(k) for k in KINDS[:4]} | {"_sure": F.filter("m_iban", lambda c: mod97(c["match"]))})
+
     def checked(kind: str) -> Column:
-        good = F.filter(f"m_{kind}", lambda c: valid(kind, c["match"]))
-        return F.transform(good, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), c["end"].alias("end")))
+        return F.transform(f"m_{kind}", lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), c["end"].alias("end")))
 
     def offered(kind: str) -> Column:
-        off = F.filter(f"m_{kind}", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+        met = lambda c: [overlaps(F.col(f"m_{k}"), c) for k in KINDS[:4]]
+        off = F.filter(f"m_{kind}", lambda c: ~functools.reduce(operator.or_, met(c)))
+        if kind != "iban":
+            off = F.filter(off, lambda c: ~overlaps(F.col("_sure"), c))
         return F.transform(off, lambda c: candidate(kind, F.col("text"), c))
 
     base = F.concat(*[checked(k) for k in KINDS[:4]])
@@ -190,7 +253,7 @@ def accepted_features(found: DataFrame, steps: int = EM_STEPS, accept: float = A
         yes, no = yes * F.when(v == 1, a).when(v == 2, 1 - a).otherwise(1.0), no * F.when(v == 1, b).when(v == 2, 1 - b).otherwise(1.0)
     soft = counts.join(F.broadcast(em), F.lit(True)).select("features", (F.col("n") * yes / (yes + no)).alias("t"), (F.col("n") * no / (yes + no)).alias("f"))
     code = F.col("features")
-    parts = F.array(*[F.struct(F.lit(j).alias("slot"), F.floor(code / div).cast("int") % mod) for j, (div, mod) in enumerate(((256, 2), (32, 8), (8, 4), (4, 2), (2, 2), (1, 2)))])
+    parts = F.array(*[F.struct(F.lit(j).alias("slot"), F.floor(code / div).cast("int") % mod) for j, (div, mod) in enumerate(((256, 4), (32, 8), (8, 4), (4, 2), (2, 2), (1, 2)))])
     parts = F.transform(parts, lambda s: F.struct(s["slot"].alias("slot"), s["col2"].alias("value")))
     slots = soft.select("t", "f", F.explode(parts).alias("s")).groupBy("s.slot", "s.value").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     totals = soft.agg(F.sum("t").alias("tt"), F.sum("f").alias("ff"))
@@ -202,7 +265,7 @@ def accepted_features(found: DataFrame, steps: int = EM_STEPS, accept: float = A
 
 
 def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them)."""
     found = materialize(spans_and_candidates(docs), "spans")
     taken = accepted_features(found, accept=accept)
     more = F.filter("candidates", lambda c: c["features"].isin(taken)) if taken else F.slice("candidates", 1, 0)
@@ -211,4 +274,4 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, name), ",")
     number = lambda i: F.size(F.filter("base", lambda b: b["kind"] == i)).cast("long")
     counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", more))).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", more))).alias("spans"), (F.size("base") + F.size(more)).cast("long").alias("n_spans"))

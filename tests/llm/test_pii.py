@@ -1,6 +1,10 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tarn.llm import pii
 
 TEXTS = [
@@ -79,5 +83,80 @@ def test_reliabilities_follow_the_votes(spark):
     assert em["a"][0] > 0.9 and em["b"][0] < 0.1 and 0.4 < em["a"][3] < 0.6
 
 
+def test_estimation_and_classifier_equal_plain_ones(spark):
+    """EM over vote patterns and naive Bayes over features, against numpy."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(600) < 0.4
+    votes = np.zeros(600, int)
+    for right in (0.9, 0.8, 0.7, 0.6):
+        agrees = rng.random(600) < right
+        v = np.where(rng.random(600) < 0.3, 0, np.where(agrees == truth, 1, 2))
+        votes = votes * 3 + v
+    features = ((rng.integers(0, 3, 600) * 8 + rng.integers(0, 8, 600)) * 4 + rng.integers(0, 4, 600)) * 8 + np.where(truth, 7, rng.integers(0, 8, 600))
+    rows = [(i, [(int(v), int(f))]) for i, (v, f) in enumerate(zip(votes, features, strict=True))]
+    found = spark.createDataFrame(rows, "doc_id long, candidates array<struct<votes:int,features:int>>")
+    each = np.stack([votes // 27 % 3, votes // 9 % 3, votes // 3 % 3, votes % 3], 1)
+    pi, a, b = 0.5, np.full(4, 0.8), np.full(4, 0.2)
+    like = lambda p: np.where(each == 1, p, np.where(each == 2, 1 - p, 1.0)).prod(1)
+    for _ in range(pii.EM_STEPS):
+        r = pi * like(a) / (pi * like(a) + (1 - pi) * like(b))
+        pi = (r.sum() + 1) / (len(r) + 2)
+        a, b = (((w[:, None] * (each == 1)).sum(0) + 1) / ((w[:, None] * (each > 0)).sum(0) + 2) for w in (r, 1 - r))
+    em = pii.reliabilities(spark.createDataFrame([(int(v), 1) for v in votes], "votes int, n long").groupBy("votes").agg({"n": "sum"}).toDF("votes", "n")).first()
+    assert abs(em["pi"] - pi) < 1e-9 and np.allclose(em["a"], a) and np.allclose(em["b"], b)
+    r = pi * like(a) / (pi * like(a) + (1 - pi) * like(b))
+    t, f = r.sum(), (1 - r).sum()
+    slots = [features // 256 % 4, features // 32 % 8, features // 8 % 4, features // 4 % 2, features // 2 % 2, features % 2]
+    logit = np.log((t + 1) / (f + 1)) + sum(np.log(((r[:, None] * (s[:, None] == s)).sum(0) + 1) / (t + 8) * (f + 8) / (((1 - r)[:, None] * (s[:, None] == s)).sum(0) + 1)) for s in slots)
+    assert pii.accepted_features(found) == sorted(set(features[1 / (1 + np.exp(-logit)) >= pii.ACCEPT].tolist()))
+
+
+def test_added_kinds(spark):
+    """Recall and precision of each added kind, planted in shapes that labelers only partly know."""
+    rng = random.Random(9)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkABCDEFGH0123456789") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban(good=True):
+        body = digits(18)
+        check = 98 - int(body + "1314" + "00") % 97
+        return f"DE{(check if good else check % 96 + 1):02d}{body}"
+
+    docs, want = [], {}
+    for i in range(900):
+        kind = ("secret", "iban", "number", None)[i % 4]
+        text = {"secret": lambda: f'api key = "{mixed(40) if i % 8 else hexed(40)}"', "iban": lambda: f"please pay to iban {iban()} soon", "number": lambda: f"my phone: ({digits(3)}) {digits(3)}-{digits(4)} thanks", None: lambda: f"version 1.{digits(2)}.{digits(4)}.{digits(2)} of chapter {digits(3)} and {'la' * 12} plus page 10.20.30.40.50"}[kind]()
+        docs.append((i, f"Some words before, and {text} and after."))
+        want[i] = kind
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind in ("secret", "iban", "number"):
+        hits = {i for i, s in got.items() if f"{kind}:" in s}
+        true = {i for i, k in want.items() if k == kind}
+        assert len(hits & true) >= 0.9 * len(true) and len(hits & true) >= 0.9 * len(hits), (kind, len(hits & true), len(true), len(hits))
+
+
+def test_overlaps_are_those_of_a_plain_look(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(60):
+        at, spans = 0, []
+        for _ in range(rng.randint(0, 9)):
+            at += rng.randint(0, 5)
+            spans.append((at, at + rng.randint(1, 6)))
+            at = spans[-1][1]
+        rows += [(i, spans, (a := rng.randint(0, 40), a + rng.randint(1, 6))) for _ in range(6)]
+    df = spark.createDataFrame(rows, "i long, spans array<struct<start:int,end:int>>, c struct<start:int,end:int>")
+    for r in df.select("spans", "c", pii.overlaps(F.col("spans"), F.col("c")).alias("got")).collect():
+        assert r["got"] == any(s["start"] < r["c"]["end"] and s["end"] > r["c"]["start"] for s in r["spans"])
+
+
+def test_odd_rows(spark, odd_docs):
+    got = pii.find_pii(odd_docs).collect()
+    assert len(got) == odd_docs.count() and {r["n_spans"] for r in got} == {0}
+    twice = spark.createDataFrame([(1, "a@b.co"), (1, "1.2.3.4"), (None, "a@b.co"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["n_spans"]) for r in pii.find_pii(twice).collect()) == [(0, 0, 0, 0), (0, 1, 0, 1), (1, 0, 1, 1), (1, 1, 0, 1)]
+
+
 def test_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
