@@ -1,54 +1,25 @@
-"""Shared folder, materialised steps and connected components."""
+"""What the operators share: spread joins, sorted groups and connected components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import re
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import fresh_path, materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "components", "fresh_path", "materialize", "one_blas_thread", "remove", "shared_dir", "sorted_groups", "spread_join"]
+
 #: White space and words of the contracts, as Java and Python patterns alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir). Only a local session may go without it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="tarn-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, deleted when the JVM ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write a step to the shared folder and read it again: it is computed once and survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ def odd_docs(spark):
     rows = [(i, t, "src" if i % 3 else None, "v") for i, t in enumerate(TEXTS)]
     rows += [rows[4], (5, "another text of five words here", "src", "v"), (None, "a", "z", "v"), (None, None, None, None)]
     names = "doc_id long, text string, source string, lang string"
-    extra = ["row", "key", "th", "doc", "n", "size", "score", "predicted", "id", "bucket", "group_size", "kept", "block", "h", "taken", "spans", "base"]
+    extra = ["row", "key", "th", "doc", "n", "size", "score", "predicted", "id", "bucket", "group_size", "kept", "block", "h", "taken", "spans", "base", "_th", "_text", "_texts", "_begin", "_taken", "_size", "_id", "_h", "_key", "_gone_key", "_gone_id", "_slot", "_copy", "_tox_score", "x0", "skey", "component"]
     df = spark.createDataFrame(rows, names)
     from pyspark.sql import functions as F
 
