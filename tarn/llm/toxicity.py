@@ -6,7 +6,7 @@ examples have, whatever their label, and every word of a text is looked up. A te
 frequencies of the whole corpus, times how far its presence depends on the label (standard errors, LEAST_WEIGHT
 added). Examples of equal vectors are one exemplar with the sum of their votes. The index holds, for each term,
 postings by blocks of exemplars and the largest weight in each block: a block is scored only while the
-bound of its cosine exceeds that of the K-th vote, so the result is the exact one. Postings lie by term and block, and
+bound of its cosine reaches what the K-th vote has at least, so the result is the exact one. Postings lie by term and block, and
 similar exemplars share blocks, so those of blocks that are ruled out are not read.
 
 Neighbours vote with their cosine; the share of the toxic votes, drawn towards the prior, is calibrated by a logistic
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize, one_blas_thread
 
-MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, FIRST, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 4, 16, 40, 2.0, 0.3
+MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 16, 40, 2.0, 0.3
 STEMS, MOST_WORDS = (4, 6), 400_000
 TERM = re.compile(r"[^\W_]+")
 
@@ -181,39 +181,32 @@ class BlockMaxIndex:
         rare = self.column[terms] < 0
         terms, weights = terms[rare], weights[rare]
         bound = (weights[:, None] * self.most[terms]).sum(0) + (np.maximum.reduceat(base, self.edges) if self.n else 0)
-        found, cosines, have, least = np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        # first the blocks of the highest bounds, then all that the K-th vote doesn't rule out
-        for now in (order[:FIRST], order[FIRST:]):
-            if have >= k:
-                now = now[bound[now] >= least - 1e-12]
-            if not len(now):
-                break
-            now = np.sort(now)
-            # a term's postings lie by block: those of blocks in a row are read together
-            cut = np.flatnonzero(np.diff(now) > 3)
-            low, high = now[np.append(0, cut + 1)], now[np.append(cut, len(now) - 1)] + 1
-            cell = terms[:, None] * self.blocks
-            first = self.at[cell + low].ravel()
-            n = self.at[cell + high].ravel() - first
-            posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            w = np.repeat(np.repeat(weights, len(low)), n)
-            sums = np.bincount(self.ids[posting], w * self.weights[posting], self.n) + base
-            rows = (now[:, None] * self.block + np.arange(self.block)).ravel()
-            rows = rows[: np.searchsorted(rows, self.n)]
-            hit = rows[sums[rows] >= (least - 1e-12 if have >= k else 1e-12)]
-            if not len(hit):
-                continue
-            found, cosines = np.append(found, hit), np.append(cosines, sums[hit])
-            place = np.lexsort((found, -np.round(cosines, 12)))
-            found, cosines = found[place], cosines[place]
-            cum = np.cumsum(votes[found])
-            have = cum[-1]
-            if have >= k:
-                least = cosines[int(np.searchsorted(cum, k))]
-                keep = int(np.searchsorted(-cosines, -(least - 1e-12), "right"))
-                found, cosines = found[:keep], cosines[:keep]
+        # weights aren't negative, so the dense part alone bounds the K-th vote's cosine from below
+        few = self.n <= k
+        least = 0.0 if few else np.partition(base, self.n - int(k))[self.n - int(k)]
+        now = np.flatnonzero((bound > 0) & (bound >= least - 1e-12))
+        if not len(now):
+            return np.zeros(0, np.int64), np.zeros(0)
+        # a term's postings lie by block: those of blocks in a row are read together
+        cut = np.flatnonzero(np.diff(now) > 3)
+        low, high = now[np.append(0, cut + 1)], now[np.append(cut, len(now) - 1)] + 1
+        cell = terms[:, None] * self.blocks
+        first = self.at[cell + low].ravel()
+        n = self.at[cell + high].ravel() - first
+        posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        w = np.repeat(np.repeat(weights, len(low)), n)
+        sums = np.bincount(self.ids[posting], w * self.weights[posting], self.n) + base
+        if not few:
+            # every exemplar has a vote at least; rows of blocks that were ruled out can only be too low
+            least = np.partition(sums, self.n - int(k))[self.n - int(k)]
+        found = np.flatnonzero(sums >= max(least - 1e-12, 1e-12))
+        cosines = sums[found]
+        place = np.lexsort((found, -np.round(cosines, 12)))
+        found, cosines = found[place], cosines[place]
+        cum = np.cumsum(votes[found])
+        if len(cum) and cum[-1] >= k:
+            keep = int(np.searchsorted(-cosines, -(cosines[int(np.searchsorted(cum, k))] - 1e-12), "right"))
+            found, cosines = found[:keep], cosines[:keep]
         return found, cosines
 
 
