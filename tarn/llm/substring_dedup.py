@@ -38,7 +38,7 @@ from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_ha
 WINDOW, ANCHOR = 20, 8
 LAST = (1 << 63) - 1
 #: Words of a block, windows that a task settles before it sends them, and phrases of an anchor in a block beyond which it is common.
-BLOCK_WORDS, HELD, HOT = 4_000_000, 1_000_000, 8
+BLOCK_WORDS, HELD, HOT = 1_000_000, 1_000_000, 8
 #: settled: whole (n > 0; anchor and phrase are the source's doc and place) or to be asked (n < 0). Else a phrase, or a shared anchor's mark (n = 0).
 ROW = pa.schema([("settled", pa.bool_()), ("anchor", pa.int64()), ("phrase", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
 ROW_SQL = "settled boolean, anchor long, phrase long, doc long, th long, pos int, n int"
