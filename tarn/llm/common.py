@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import re
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.session import fresh_path, materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "components", "fresh_path", "materialize", "one_blas_thread", "remove", "shared_dir", "sorted_groups", "spread_join"]
+__all__ = ["Kept", "SPACE", "WORD", "components", "fresh_path", "give_back", "materialize", "one_blas_thread", "remove", "shared_dir", "sorted_groups", "spread_join"]
 
 #: White space and words of the contracts, as Java and Python patterns alike.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,6 +27,47 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the machine, where its libraries can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+class Kept:
+    """One object that the tasks of a worker share while they follow each other; idle for some seconds, it is let go."""
+
+    def __init__(self, seconds: float = 5.0):
+        self.seconds, self.held, self.timer = seconds, {}, None
+
+    def get(self, key, make):
+        self._stop()
+        if key not in self.held:
+            self.held.clear()
+            self.held[key] = make()
+            give_back()
+        return self.held[key]
+
+    def done(self) -> None:
+        """A task has ended: if none follows, the object goes."""
+        self._stop()
+        give_back()
+        self.timer = threading.Timer(self.seconds, self._drop)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _drop(self) -> None:
+        self.held.clear()
+        give_back()
+
+    def _stop(self) -> None:
+        if self.timer:
+            self.timer.cancel()
+            self.timer = None
+
+
 @functools.cache
 def one_blas_thread() -> None:
     """Matrix products of a worker on its task's one core: more threads than cores only wait for each other. No library found: no change."""

@@ -35,6 +35,8 @@ from tarn.llm.common import components, materialize, one_blas_thread, sorted_gro
 from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_hashes
 
 SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED, BINS = 5, 0.8, (1, 2, 3, 5, 8), 64, 1024, 0.99998, 1234, 128
+#: Pairs of a bucket search that are held at a time.
+PAIRS = 25_000
 #: Depths whose paths are made with the first look at a text; those of the others only for sets that get there.
 EARLY = 3
 
@@ -108,7 +110,7 @@ def bucket_candidates(ids: np.ndarray, begin: np.ndarray, marks: np.ndarray, lea
     """Edges that connect what the pairs of candidates connect. begin: for each row, where its bucket begins."""
     before = np.arange(len(ids)) - begin
     some = [np.zeros((2, 0), np.int64)]
-    ends = np.searchsorted(np.cumsum(before), np.arange(100_000, max(1, before.sum()) + 100_000, 100_000), "right")
+    ends = np.searchsorted(np.cumsum(before), np.arange(PAIRS, max(1, before.sum()) + PAIRS, PAIRS), "right")
     for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         n = before[lo:hi]
         i = np.repeat(np.arange(lo, hi), n)

@@ -31,35 +31,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import Kept
+
 SIZE, END, SENTENCE_CUT, HARD_CUT, HARD_STEP = 2048, 1, 4.0, 24.0, 64
 STREAM_BYTES = 24 << 20
 #: Above U+024F only general punctuation is taken on the fast way.
 RARE = re.compile(r"[^\x00-ɏ‐-‧‰-›€]|<\|endoftext\|>")
-_LOADED: dict[str, tuple] = {}
+_KEPT = Kept()
 
 
 def tokenizer(name: str = "byte_bpe_50k"):
-    """(ids of a text, flags of ids that may end a sentence, flags of ids that may follow it); loaded once a worker."""
-    if name not in _LOADED:
-        import public_tokenizers as public
-        import tiktoken
-        from tokenizers import Tokenizer
+    """(ids of a text, flags of ids that may end a sentence, flags of ids that may follow it); loaded once for tasks that follow each other."""
+    return _KEPT.get(name, lambda: _loaded(name))
+
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path(f"{name}.tiktoken"), "rb"))}
-        fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        full = Tokenizer.from_file(public.path(f"{name}.json"))
-        ends, follows = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        for raw, i in ranks.items():
-            ends[i] = bool(re.fullmatch(rb"[.!?]+[\"')\]]*|[.!?]*\n+", raw))
-            follows[i] = raw[:1] in (b" ", b"\n", b"\t", b"\r") or raw[:1].isupper()
+def _loaded(name: str) -> tuple:
+    import public_tokenizers as public
+    import tiktoken
+    from tokenizers import Tokenizer
 
-        def encode(text: str) -> list[int]:
-            if RARE.search(text):
-                return full.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path(f"{name}.tiktoken"), "rb"))}
+    fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    full = Tokenizer.from_file(public.path(f"{name}.json"))
+    ends, follows = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for raw, i in ranks.items():
+        ends[i] = bool(re.fullmatch(rb"[.!?]+[\"')\]]*|[.!?]*\n+", raw))
+        follows[i] = raw[:1] in (b" ", b"\n", b"\t", b"\r") or raw[:1].isupper()
 
-        _LOADED[name] = encode, ends, follows
-    return _LOADED[name]
+    def encode(text: str) -> list[int]:
+        if RARE.search(text):
+            return full.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode, ends, follows
 
 
 def boundaries(ids: np.ndarray, ends: np.ndarray, follows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +139,12 @@ def pack_stream(doc_ids: list, ids_of: list[np.ndarray], first_id: int, size: in
 
 def _pack(size: int, with_ids: bool, stream_bytes: int):
     def run(batches):
+        try:
+            yield from packed(batches)
+        finally:
+            _KEPT.done()
+
+    def packed(batches):
         from pyspark import TaskContext
 
         encode, ends, follows = tokenizer()

@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize, one_blas_thread
+from tarn.llm.common import Kept, give_back, materialize, one_blas_thread
 
-MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 64, 16, 40, 2.0, 0.3
-STEMS, MOST_WORDS = (4, 6), 400_000
+MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 128, 16, 40, 2.0, 0.3
+STEMS, MOST_WORDS = (4, 6), 200_000
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -137,12 +137,14 @@ class BlockMaxIndex:
     Vectors are dicts, or arrays of terms (ascending) and weights.
     """
 
-    def __init__(self, vectors: list, terms: int, block: int = BLOCK):
+    def __init__(self, vectors: Iterable, terms: int, block: int = BLOCK):
+        vectors = list(vectors)
         self.n, self.block, self.blocks = len(vectors), block, max(1, -(-len(vectors) // block))
         pairs = [self.arrays(v) for v in vectors]
-        term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int64)])
-        ids = np.repeat(np.arange(self.n), [len(t) for t, _ in pairs])
+        term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int64)]).astype(np.int32)
+        ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
         weights = np.concatenate([w for _, w in pairs] or [np.zeros(0)])
+        del pairs, vectors
         dense = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > max(self.n, block))
         self.column = np.full(terms, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
@@ -152,8 +154,9 @@ class BlockMaxIndex:
         term, ids, weights = term[at < 0], ids[at < 0], weights[at < 0]
         order = np.argsort(term, kind="stable")
         self.ids, self.weights = ids[order].astype(np.int32), weights[order]
-        cell = term[order] * self.blocks + self.ids // block
-        self.at = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
+        cell = term[order].astype(np.int64) * self.blocks + self.ids // block
+        self.at = np.zeros(terms * self.blocks + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=terms * self.blocks), out=self.at[1:])
         self.most = np.zeros(terms * self.blocks, np.float32)
         np.maximum.at(self.most, cell, np.nextafter(self.weights.astype(np.float32), np.float32(np.inf)))
         self.most = self.most.reshape(terms, self.blocks)
@@ -227,18 +230,21 @@ def alike_together(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, blo
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-_MODELS: dict = {}
+_KEPT = Kept()
 
 
 def _restored(uid: str, packed: bytes) -> ToxicityModel:
-    """A shipped model; a worker makes the index once, not for each task."""
-    if uid not in _MODELS:
-        _MODELS.clear()
+    """A shipped model; a worker makes the index once for the tasks that follow each other."""
+
+    def make() -> ToxicityModel:
         model = ToxicityModel.__new__(ToxicityModel)
         model.__dict__.update(pickle.loads(zlib.decompress(packed)))
         model.make_index()
-        _MODELS[uid] = model
-    return _MODELS[uid]
+        # a worker scores only: the examples are in its index
+        model.order = []
+        return model
+
+    return _KEPT.get(uid, make)
 
 
 class ToxicityModel:
@@ -277,7 +283,7 @@ class ToxicityModel:
             self.line = fit_line(np.array(raw), label, weight)
 
     def make_index(self) -> None:
-        self.index = BlockMaxIndex([self.vector(k) for k in self.order], len(self.idf))
+        self.index = BlockMaxIndex((self.vector(k) for k in self.order), len(self.idf))
 
     def __reduce__(self):
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
@@ -350,6 +356,8 @@ def _frequencies(terms: list[str]):
             for t in b.column("text").to_pylist():
                 if t:
                     seen[known.present(words_of(t))] += 1
+        del known
+        give_back()
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(["", *(terms[i] for i in some)]), pa.array([n, *seen[some]], pa.int64())], names=["term", "n"])
 
@@ -400,10 +408,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
 def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
     def run(batches):
         one_blas_thread()
+        try:
+            yield from scored(batches)
+        finally:
+            _KEPT.done()
+
+    def scored(batches):
         for b in batches:
             out = []
-            for i in range(0, b.num_rows, 256):
-                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 256).to_pylist()]
+            for i in range(0, b.num_rows, 128):
+                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 128).to_pylist()]
                 out += [model.score(k, base) for k, base in zip(keys, model.dense_sums(keys), strict=True)]
             scores = pa.array([s for s, _ in out], pa.float64())
             extra = [pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())]
