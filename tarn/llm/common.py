@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.session import fresh_path, materialize, shared_dir
 
-__all__ = ["Kept", "SPACE", "WORD", "components", "fresh_path", "give_back", "materialize", "one_blas_thread", "remove", "shared_dir", "sorted_groups", "spread_join"]
+__all__ = ["Kept", "SPACE", "WORD", "bounded_batches", "components", "fresh_path", "give_back", "materialize", "one_blas_thread", "remove", "shared_dir", "sorted_groups", "spread_join"]
 
 #: White space and words of the contracts, as Java and Python patterns alike.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,6 +27,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of whole texts between Spark and Python hold fewer rows than usual, as a text may be long; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def give_back() -> None:
     """Memory that a worker has freed goes back to the machine, where its libraries can do that."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import components, materialize, one_blas_thread, sorted_groups, spread_join
+from tarn.llm.common import bounded_batches, components, materialize, one_blas_thread, sorted_groups, spread_join
 from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_hashes
 
 SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED, BINS = 5, 0.8, (1, 2, 3, 5, 8), 64, 1024, 0.99998, 1234, 128
@@ -303,6 +303,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
 
     rows: also th (xxhash64 of the text) and component (a number of the class, null where nothing is linked).
     """
+    bounded_batches(docs.sparkSession)
     runs = [level_runs(threshold, recall, d) for d in DEPTHS[:EARLY]]
     made = ["sketch", *(f"paths{d}" for d in DEPTHS[:EARLY])]
     text = F.coalesce("text", F.lit(""))

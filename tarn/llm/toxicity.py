@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Kept, give_back, materialize, one_blas_thread
+from tarn.llm.common import Kept, bounded_batches, give_back, materialize, one_blas_thread
 
 MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 128, 16, 40, 2.0, 0.3
 STEMS, MOST_WORDS = (4, 6), 200_000
@@ -378,7 +378,7 @@ class Examples:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> ToxicityModel:
     """A model from rows of labels (doc_id, toxic) on documents; corpus counts are over all documents."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # a row for each doc_id, so that an id of very many rows isn't gathered
     present = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
@@ -428,6 +428,7 @@ def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
     """All columns of docs, and score, predicted and evidence under ``names`` (columns that docs has by these names are replaced)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_score(model, threshold, names), f"{fields}, {names[0]} double, {names[1]} int, {names[2]} string")
