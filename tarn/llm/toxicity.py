@@ -26,7 +26,6 @@ import pickle
 import re
 import uuid
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import Kept, bounded_batches, give_back, materialize, one_blas_thread
 
 MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 128, 16, 40, 2.0, 0.3
-STEMS, MOST_WORDS = (4, 6), 200_000
+STEMS = (4, 6)
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -52,58 +51,33 @@ def parts(word: str) -> dict[str, None]:
     return dict.fromkeys([*(word[:n] for n in STEMS if len(word) >= n), word])
 
 
-class Codes(dict):
-    """Word -> its number among the words met; ``flat[at[i]:at[i + 1]]`` are the terms of word i."""
-
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms, self.flat, self.at = terms, array("i"), array("i", [0])
-
-    def __missing__(self, word: str) -> int:
-        get, flat = self.terms.get, self.flat
-        for n in STEMS:
-            if len(word) > n and (i := get(word[:n])) is not None:
-                flat.append(i)
-        if (i := get(word)) is not None:
-            flat.append(i)
-        self.at.append(len(flat))
-        self[word] = n = len(self)
-        return n
-
-
 class Vocabulary:
-    """The terms of an index by number. Words met are remembered, at most MOST_WORDS at a time."""
+    """The terms of an index by number. Nothing is remembered of the words met."""
 
     def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.codes = Codes(self.terms)
-        self.last = np.zeros(len(terms), np.int64)
 
     def __reduce__(self):
         return Vocabulary, (list(self.terms),)
 
-    def numbered(self, words) -> list[int]:
-        if len(self.codes) > MOST_WORDS:
-            self.codes = Codes(self.terms)
-        return list(map(self.codes.__getitem__, words))
-
-    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of each word in a row, and how many each has."""
-        at, flat = np.frombuffer(self.codes.at, np.int32), np.frombuffer(self.codes.flat, np.int32)
-        begin, size = at[code].astype(np.int64), (at[code + 1] - at[code]).astype(np.int64)
-        return flat[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())], size
-
     def present(self, words: list[str]) -> np.ndarray:
         """The terms in a text's words, each once."""
-        term, _ = self.of(np.array(self.numbered(set(words)), np.int64))
-        self.last[term] = np.arange(len(term))
-        return term[self.last[term] == np.arange(len(term))]
+        get, once = self.terms.get, set(words)
+        found = {get(w) for w in once}
+        for n in STEMS:
+            # a shorter word's beginning is the word
+            found |= {get(w) for w in {w[:n] for w in once}}
+        found.discard(None)
+        return np.fromiter(found, np.int64, len(found))
 
     def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The terms in a text's words, ascending, and how often they occur."""
-        code, n = np.unique(np.array(self.numbered(words), np.int64), return_counts=True)
-        term, size = self.of(code)
-        n = np.repeat(n, size)
+        get, often = self.terms.get, Counter(words)
+        ids = [[get(w, -1) for w in often], *([get(w[:n], -1) if len(w) > n else -1 for w in often] for n in STEMS)]
+        term = np.array(ids, np.int64).ravel()
+        n = np.tile(np.fromiter(often.values(), np.int64, len(often)), len(ids))
+        known = term >= 0
+        term, n = term[known], n[known]
         order = np.argsort(term, kind="stable")
         term, n = term[order], n[order]
         first = np.flatnonzero(np.diff(term, prepend=-1))
