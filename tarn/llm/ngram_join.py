@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, components, materialize, one_blas_thread, sorted_groups, spread_join
+from tarn.llm.common import bounded_batches, components, give_back, materialize, one_blas_thread, sorted_groups, spread_join
 from tarn.llm.words import Sequences, fixed_runs, scramble, split_words, word_hashes
 
 SHINGLE, THRESHOLD, DEPTHS, SMALL, TILE, TARGET_RECALL, SEED, BINS = 5, 0.8, (1, 2, 3, 5, 8), 64, 1024, 0.99998, 1234, 128
-#: Pairs of a bucket search that are held at a time.
-PAIRS = 25_000
+#: Pairs of a bucket search, and texts, that are held at a time.
+PAIRS, ROWS = 25_000, 250
 #: Depths whose paths are made with the first look at a text; those of the others only for sets that get there.
 EARLY = 3
 
@@ -158,8 +158,8 @@ def _search(least: float):
 def _sign(size: int, runs: list[int]):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                b = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, ROWS):
+                b = batch.slice(i, ROWS)
                 values, offsets = shingle_sets(b.column("text"), size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
@@ -176,6 +176,7 @@ def _sign(size: int, runs: list[int]):
                     at[full] = np.arange(len(full))
                     paths = [run_paths(values, ends, r, d).take(pa.array(at, mask=at < 0)) for r, d in zip(runs, DEPTHS, strict=False)]
                 yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), pa.array(keys, pa.binary()), pa.array(n), pa.array(marks, pa.binary()), *paths], names=["doc_id", "th", "row", "set_key", "set_size", "sketch", *(f"paths{d}" for _, d in zip(runs, DEPTHS, strict=False))])
+            give_back()
 
     return run
 
@@ -183,8 +184,8 @@ def _sign(size: int, runs: list[int]):
 def _deeper(size: int, runs: int, depth: int):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                b = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, ROWS):
+                b = batch.slice(i, ROWS)
                 values, offsets = shingle_sets(b.column("text"), size)
                 yield pa.record_batch([b.column("id"), run_paths(values, offsets, runs, depth)], names=["id", "paths"])
 
