@@ -157,6 +157,7 @@ def _forest(batches):
         if len(parent) > HELD_VERTICES:
             yield from out()
     yield from out()
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -151,6 +151,8 @@ def _search(least: float):
                 held = held.slice(last)
         if held is not None and len(held):
             yield from edges(held, len(held))
+        held = None
+        give_back()
 
     return run
 
@@ -246,8 +248,8 @@ def intersections(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, col
         ok = (a >= 0) & (b >= 0)
         out += np.bincount(a[ok] * len(cols) + b[ok], minlength=out.size).reshape(out.shape).astype(np.float32)
     many = np.flatnonzero(df > 16)
-    for c in range(0, len(many), 4096):
-        part = many[c : c + 4096]
+    for c in range(0, len(many), 2048):
+        part = many[c : c + 2048]
         x = np.zeros((len(sets), len(part)), np.float32)
         size = df[part]
         where = np.repeat(first[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -295,6 +297,7 @@ def _compare(size: int, threshold: float):
         one_blas_thread()
         for t in sorted_groups(batches, ("block", "first", "second")):
             yield from group(t)
+        give_back()
 
     return run
 
