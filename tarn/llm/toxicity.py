@@ -28,6 +28,8 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from tarn.llm.common import Kept, bounded_batches, give_back, materialize, one_b
 MOST_EXAMPLES, LEAST_DF, LEAST_WEIGHT, BLOCK, DENSE, K, PRIOR_VOTES, THRESHOLD = 2500, 5, 0.1, 128, 16, 40, 2.0, 0.3
 STEMS = (4, 6)
 TERM = re.compile(r"[^\W_]+")
+BEGINNINGS = [itemgetter(slice(n)) for n in STEMS]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,20 +66,22 @@ class Vocabulary:
     def present(self, words: list[str]) -> np.ndarray:
         """The terms in a text's words, each once."""
         get, once = self.terms.get, set(words)
-        found = {get(w) for w in once}
-        for n in STEMS:
+        found = set(map(get, once))
+        for beginning in BEGINNINGS:
             # a shorter word's beginning is the word
-            found |= {get(w) for w in {w[:n] for w in once}}
+            found.update(map(get, map(beginning, once)))
         found.discard(None)
         return np.fromiter(found, np.int64, len(found))
 
     def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The terms in a text's words, ascending, and how often they occur."""
-        get, often = self.terms.get, Counter(words)
-        ids = [[get(w, -1) for w in often], *([get(w[:n], -1) if len(w) > n else -1 for w in often] for n in STEMS)]
-        term = np.array(ids, np.int64).ravel()
-        n = np.tile(np.fromiter(often.values(), np.int64, len(often)), len(ids))
-        known = term >= 0
+        get, often, none = self.terms.get, Counter(words), repeat(-1)
+        size, ways = len(often), 1 + len(STEMS)
+        ids = chain(map(get, often, none), *(map(get, map(beginning, often), none) for beginning in BEGINNINGS))
+        term = np.fromiter(ids, np.int64, size * ways)
+        n = np.tile(np.fromiter(often.values(), np.int64, size), ways)
+        length = np.fromiter(map(len, often), np.int64, size)
+        known = (term >= 0) & (np.tile(length, ways) > np.repeat((0, *STEMS), size))
         term, n = term[known], n[known]
         order = np.argsort(term, kind="stable")
         term, n = term[order], n[order]
@@ -157,7 +162,7 @@ class BlockMaxIndex:
         base = self.dense_sums([(terms, weights)])[0] if base is None else base
         rare = self.column[terms] < 0
         terms, weights = terms[rare], weights[rare]
-        bound = (weights[:, None] * self.most[terms]).sum(0) + (np.maximum.reduceat(base, self.edges) if self.n else 0)
+        bound = weights @ self.most[terms] + (np.maximum.reduceat(base, self.edges) if self.n else 0)
         # weights aren't negative, so the dense part alone bounds the K-th vote's cosine from below
         few = self.n <= k
         least = 0.0 if few else np.partition(base, self.n - int(k))[self.n - int(k)]
@@ -250,14 +255,16 @@ class ToxicityModel:
             raw = []
             for i, (k, w, y) in enumerate(zip(keys, weight.tolist(), label.tolist(), strict=True)):
                 if i % 128 == 0:
-                    bases = self.dense_sums(keys[i : i + 128])
+                    vectors = [self.vector(x) for x in keys[i : i + 128]]
+                    bases = self.index.dense_sums(vectors)
                 if (r := memo.get((k, y))) is None:
-                    r = memo[k, y] = self.raw(k, (own.get(k), w, y), bases[i % 128])[0]
+                    r = memo[k, y] = self.raw(vectors[i % 128], (own.get(k), w, y), bases[i % 128])[0]
                 raw.append(r)
             self.line = fit_line(np.array(raw), label, weight)
 
     def make_index(self) -> None:
         self.index = BlockMaxIndex((self.vector(k) for k in self.order), len(self.idf))
+        self.scale = max(1e-9, (self.toxic.sum() + self.clean.sum()) / max(1, self.votes.sum()))
 
     def __reduce__(self):
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
@@ -268,29 +275,33 @@ class ToxicityModel:
         return np.array(self.terms.counts(words), np.int32).tobytes()
 
     def vector(self, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of length 1; nothing of a text without terms."""
         terms, n = np.frombuffer(key, np.int32).reshape(2, -1).astype(np.int64)
         v = (1 + np.log(n)) * self.idf[terms]
-        return terms, v / math.sqrt((v * v).sum())
+        return terms, v / math.sqrt(v @ v) if key else v
 
-    def raw(self, key: bytes, without: tuple | None = None, base: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def raw(self, vector: tuple[np.ndarray, np.ndarray], without: tuple | None = None, base: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of the toxic votes, the exemplars and their cosines. without: (exemplar, weight, label) of a vote that doesn't count."""
-        if not key or not len(self.votes):
+        if not len(vector[0]) or not len(self.votes):
             return self.none, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines = self.index.nearest(self.vector(key), self.votes, K, base)
-        a, b = self.toxic[found].copy(), self.clean[found].copy()
+        found, cosines = self.index.nearest(vector, self.votes, K, base)
+        a, b = self.toxic[found], self.clean[found]
         if without and without[0] is not None:
             (a if without[2] else b)[found == without[0]] -= without[1]
         sure = cosines * cosines
-        scale = max(1e-9, (self.toxic.sum() + self.clean.sum()) / self.votes.sum())
-        return float(((a * sure).sum() + PRIOR_VOTES * scale * self.prior) / (((a + b) * sure).sum() + PRIOR_VOTES * scale)), found, cosines
+        prior = PRIOR_VOTES * self.scale
+        return float((a @ sure + prior * self.prior) / ((a + b) @ sure + prior)), found, cosines
 
-    def dense_sums(self, keys: list[bytes]) -> np.ndarray:
-        empty = np.zeros(0, np.int64), np.zeros(0)
-        return self.index.dense_sums([self.vector(k) if k else empty for k in keys])
+    def scores(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """Calibrated scores, and the nearest examples as evidence (doc_id:cosine)."""
+        vectors = [self.vector(self.key(words_of(t))) for t in texts]
+        return [self._score(*x) for x in zip(vectors, self.index.dense_sums(vectors), strict=True)]
 
-    def score(self, key: bytes, base: np.ndarray | None = None) -> tuple[float, str]:
-        """Calibrated score, and the nearest examples as evidence (doc_id:cosine)."""
-        r, found, cosines = self.raw(key, None, base)
+    def score(self, key: bytes) -> tuple[float, str]:
+        return self._score(self.vector(key), None)
+
+    def _score(self, vector: tuple[np.ndarray, np.ndarray], base: np.ndarray | None) -> tuple[float, str]:
+        r, found, cosines = self.raw(vector, None, base)
         r = min(max(r, 1e-6), 1 - 1e-6)
         x = self.line[0] + self.line[1] * math.log(r / (1 - r))
         s = 1 / (1 + math.exp(-x)) if self.prior else 0.0
@@ -391,8 +402,7 @@ def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):
         for b in batches:
             out = []
             for i in range(0, b.num_rows, 128):
-                keys = [model.key(words_of(t)) for t in b.column("text").slice(i, 128).to_pylist()]
-                out += [model.score(k, base) for k, base in zip(keys, model.dense_sums(keys), strict=True)]
+                out += model.scores(b.column("text").slice(i, 128).to_pylist())
             scores = pa.array([s for s, _ in out], pa.float64())
             extra = [pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), scores, *extra], names=[*b.schema.names, *names])
