@@ -221,6 +221,8 @@ def candidates(classes: DataFrame, docs: DataFrame, size: int, threshold: float,
         large = met.where(F.col("n") > small)
         if last:
             edges = edges.unionByName(large.where("id != leader").select("id", "leader"))
+        # written, as a task that went on to components would keep a second Python worker
+        edges = materialize(edges, "edges")
         out = edges if out is None else out.unionByName(edges)
         crowd = materialize(large.select("id").distinct(), "crowd")
         if last or crowd.isEmpty():
