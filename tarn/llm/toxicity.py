@@ -21,6 +21,7 @@ all vote; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 import re
@@ -73,8 +74,8 @@ class Vocabulary:
         found.discard(None)
         return np.fromiter(found, np.int64, len(found))
 
-    def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms in a text's words, ascending, and how often they occur."""
+    def counts(self, words: list[str] | Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The terms in a text's words (or in their counts), ascending, and how often they occur."""
         get, often, none = self.terms.get, Counter(words), repeat(-1)
         size, ways = len(often), 1 + len(STEMS)
         ids = chain(map(get, often, none), *(map(get, map(beginning, often), none) for beginning in BEGINNINGS))
@@ -88,6 +89,10 @@ class Vocabulary:
         first = np.flatnonzero(np.diff(term, prepend=-1))
         return term[first], np.add.reduceat(n, first) if len(first) else n
 
+    def key(self, words: list[str] | Counter) -> bytes:
+        """The terms in a text, ascending, and their counts (rows of 32 bits)."""
+        return np.array(self.counts(words), np.int32).tobytes()
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
@@ -117,13 +122,12 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: Iterable, terms: int, block: int = BLOCK):
-        vectors = list(vectors)
-        self.n, self.block, self.blocks = len(vectors), block, max(1, -(-len(vectors) // block))
-        pairs = [self.arrays(v) for v in vectors]
-        term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int64)]).astype(np.int32)
+        pairs = [(t.astype(np.int32), w) for t, w in map(self.arrays, vectors)]
+        self.n, self.block, self.blocks = len(pairs), block, max(1, -(-len(pairs) // block))
+        term = np.concatenate([t for t, _ in pairs] or [np.zeros(0, np.int32)])
         ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
         weights = np.concatenate([w for _, w in pairs] or [np.zeros(0)])
-        del pairs, vectors
+        del pairs
         dense = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > max(self.n, block))
         self.column = np.full(terms, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
@@ -132,8 +136,9 @@ class BlockMaxIndex:
         self.matrix[at[at >= 0], ids[at >= 0]] = weights[at >= 0]
         term, ids, weights = term[at < 0], ids[at < 0], weights[at < 0]
         order = np.argsort(term, kind="stable")
-        self.ids, self.weights = ids[order].astype(np.int32), weights[order]
+        self.ids, self.weights = ids[order], weights[order]
         cell = term[order].astype(np.int64) * self.blocks + self.ids // block
+        del term, ids, weights, order, at
         self.at = np.zeros(terms * self.blocks + 1, np.int32)
         np.cumsum(np.bincount(cell, minlength=terms * self.blocks), out=self.at[1:])
         self.most = np.zeros(terms * self.blocks, np.float32)
@@ -192,11 +197,13 @@ class BlockMaxIndex:
         return found, cosines
 
 
-def alike_together(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, dims: int = 64) -> np.ndarray:
+def alike_together(vectors: Iterable[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, dims: int = 64) -> np.ndarray:
     """An order that puts similar vectors into one block, so that most blocks are ruled out: halves along the main axis of a random projection."""
-    signs = np.random.default_rng(0).choice([-1.0, 1.0], (terms, dims))
-    x = np.array([w @ signs[t] for t, w in vectors]).reshape(len(vectors), dims)
-    out, todo = [], [np.arange(len(vectors))]
+    rng, signs = np.random.default_rng(0), np.empty((terms, dims), np.int8)
+    for i in range(0, terms, 4096):
+        signs[i : i + 4096] = rng.choice([-1.0, 1.0], signs[i : i + 4096].shape)
+    x = np.array([w @ signs[t].astype(float) for t, w in vectors]).reshape(-1, dims)
+    out, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
         if len(rows) <= block:
@@ -218,8 +225,8 @@ def _restored(uid: str, packed: bytes) -> ToxicityModel:
     def make() -> ToxicityModel:
         model = ToxicityModel.__new__(ToxicityModel)
         model.__dict__.update(pickle.loads(zlib.decompress(packed)))
-        model.make_index()
         # a worker scores only: the examples are in its index
+        _ = model.index
         model.order = []
         return model
 
@@ -227,23 +234,23 @@ def _restored(uid: str, packed: bytes) -> ToxicityModel:
 
 
 class ToxicityModel:
-    def __init__(self, vocabulary: dict[str, float], df: dict[str, int], documents: int, examples: Iterable[Counter], ids: list, weight: np.ndarray, label: np.ndarray):
+    """keys: of the examples, by Vocabulary.key. The index is made when it is first used, and the driver lets it go after the fit."""
+
+    def __init__(self, vocabulary: dict[str, float], df: dict[str, int], documents: int, keys: list[bytes], ids: list, weight: np.ndarray, label: np.ndarray):
         self.terms = Vocabulary(list(vocabulary))
         self.idf = np.array([(math.log((1 + documents) / (1 + df.get(t, 0))) + 1) * z for t, z in vocabulary.items()])
         groups: dict[bytes, list] = {}
-        keys = []
-        for words, i, w, y in zip(examples, ids, weight.tolist(), label.tolist(), strict=True):
-            keys.append(key := self.key(list(words.elements())))
+        for key, i, w, y in zip(keys, ids, weight.tolist(), label.tolist(), strict=True):
             g = groups.setdefault(key, [0.0, 0.0, 0, i])
             g[y] += w
             g[2] += 1
         order = sorted(k for k in groups if k)
-        order = [order[i] for i in alike_together([self.vector(k) for k in order], len(self.idf))]
+        order = [order[i] for i in alike_together(map(self.vector, order), len(self.idf))]
         self.votes = np.array([groups[k][2] for k in order], float)
         self.toxic, self.clean = np.array([groups[k][1] for k in order]), np.array([groups[k][0] for k in order])
         self.example = [groups[k][3] for k in order]
         self.uid, self.order = uuid.uuid4().hex, order
-        self.make_index()
+        self.scale = max(1e-9, (self.toxic.sum() + self.clean.sum()) / max(1, self.votes.sum()))
         total = weight.sum()
         self.prior = float((weight * label).sum() / total) if total else 0.0
         none = groups.get(b"", [0.0, 0.0, 0, None])
@@ -261,18 +268,18 @@ class ToxicityModel:
                     r = memo[k, y] = self.raw(vectors[i % 128], (own.get(k), w, y), bases[i % 128])[0]
                 raw.append(r)
             self.line = fit_line(np.array(raw), label, weight)
+        self.__dict__.pop("index", None)
 
-    def make_index(self) -> None:
-        self.index = BlockMaxIndex((self.vector(k) for k in self.order), len(self.idf))
-        self.scale = max(1e-9, (self.toxic.sum() + self.clean.sum()) / max(1, self.votes.sum()))
+    @functools.cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex(map(self.vector, self.order), len(self.idf))
 
     def __reduce__(self):
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
         return _restored, (self.uid, zlib.compress(pickle.dumps(state), 1))
 
-    def key(self, words: list[str]) -> bytes:
-        """The terms of the index in a text, ascending, and their counts (rows of 32 bits)."""
-        return np.array(self.terms.counts(words), np.int32).tobytes()
+    def key(self, words: list[str] | Counter) -> bytes:
+        return self.terms.key(words)
 
     def vector(self, key: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of length 1; nothing of a text without terms."""
@@ -385,9 +392,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Toxici
     weight = np.array([counts.get(y, 0) / max(1, of[y]) for y in (0, 1)])[label]
     examples = Examples(table)
     vocabulary = choose_terms(examples, label)
+    known_terms = Vocabulary(list(vocabulary))
+    keys, ids = [known_terms.key(words) for words in examples], table["doc_id"].to_pylist()
+    del table, examples
+    give_back()
     found = docs.select("text").mapInArrow(_frequencies(list(vocabulary)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
-    return ToxicityModel(vocabulary, df, df.get("", 0), examples, table["doc_id"].to_pylist(), weight, label)
+    model = ToxicityModel(vocabulary, df, df.get("", 0), keys, ids, weight, label)
+    # the driver has no memory to spare for what the fit has needed
+    del found, df, keys, ids, vocabulary
+    give_back()
+    return model
 
 
 def _score(model: ToxicityModel, threshold: float, names: tuple[str, str, str]):

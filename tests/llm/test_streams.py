@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -227,3 +228,14 @@ def test_toxicity(spark, odd_docs, no_docs):
     none = toxicity.fit(docs, lab.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(no_docs, model).count() == 0
+
+
+def test_toxicity_fit_leaves_the_driver_no_index(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+    # the examples' keys are all that is held of them; workers, and whoever scores with it, make the index anew
+    assert len(model.order) > 10 and "index" not in vars(model)
+    texts = [None, "", *[r["text"] for r in docs.limit(20).collect()]]
+    shipped = pickle.loads(pickle.dumps(model))
+    assert "index" in vars(shipped) and not shipped.order
+    assert shipped.scores(texts) == model.scores(texts)
