@@ -30,8 +30,15 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def apportion(units: DataFrame, group: str, votes: str, seats: str, unit: str) -> DataFrame:
-    """Adds ``quota``: the whole seats of each unit within its group. Ties go to the first by ``unit``."""
+def apportion(units: DataFrame, group: str | list[str], votes: str, seats: str, unit: str | list[str]) -> DataFrame:
+    """Adds ``quota``: the whole seats of each unit within its group. Ties go to the first by ``unit``.
+
+    ``group`` and ``unit`` are a column or a list of columns that name one together.
+    """
+    if not isinstance(group, str) or not isinstance(unit, str):
+        names = {k: [c] if isinstance(c, str) else list(c) for k, c in (("_group", group), ("_unit", unit))}
+        packed = units.withColumns({k: F.struct(*cs) for k, cs in names.items()})
+        return apportion(packed, "_group", votes, seats, "_unit").drop(*names)
     share, zero = F.col(votes).cast("double"), F.lit(0).cast("long")
     totals = units.groupBy(F.col(group).alias("_g")).agg(F.sum(share).alias("_v"), F.count(F.lit(1)).alias("_n"))
     x = spread_join(units, totals, group, "_g", unit).drop("_g")

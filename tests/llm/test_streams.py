@@ -114,6 +114,21 @@ def test_apportion_is_sainte_lague(spark):
     assert {(r["g"], r["i"]): r["quota"] for r in mixing.apportion(df, ["g"], "v", "s", ["i"]).collect()} == want
 
 
+def test_apportion_by_several_columns(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in range(6):
+        votes = [rng.choice([0, 5, 5, 40, 1000]) for _ in range(rng.randint(2, 8))]
+        seats = rng.choice([1, 3, 17, 60]) if any(votes) else 0
+        for i, (v, w) in enumerate(zip(votes, seats_one_by_one(votes, seats), strict=True)):
+            rows.append((g // 2, g % 2, i // 3, i % 3, float(v), seats))
+            want[g, i] = w
+    df = spark.createDataFrame(rows, "g int, h int, i int, j int, v double, s long")
+    out = mixing.apportion(df, ["g", "h"], "v", "s", ["i", "j"])
+    assert out.columns == [*df.columns, "quota"]
+    assert {(2 * r["g"] + r["h"], 3 * r["i"] + r["j"]): r["quota"] for r in out.collect()} == want
+
+
 def test_chat_folds_deltas_edits_and_regenerations(spark):
     log = [
         (1, "m1", 0, "start", "user", None), (1, "m1", 1, "delta", None, "Hel"), (1, "m1", 2, "delta", None, "lo"), (1, "m2", 3, "start", "assistant", None), (1, "m2", 4, "delta", None, "bad"),
