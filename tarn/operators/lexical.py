@@ -55,8 +55,12 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(term, key, tf, dl), in order of term and key."""
     # lower case by way of one string, which unlike a lambda over the tokens is compiled
     raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    x = spread(docs.select(key, text), key).select(key, F.size(raw).cast("long").alias("dl"), F.explode(F.split(F.lower(F.array_join(raw, " ")), " ")).alias("term"))
-    x = x.where("term != ''").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    x = spread(docs.select(key, text), key).select(key, F.size(raw).cast("long").alias("dl"), F.sort_array(F.split(F.lower(F.array_join(raw, " ")), " ")).alias("words"))
+    # equal words lie in runs, counted within the text's row: nothing is taken from the text beside the generator, which would
+    # take it once a word, and only postings are dealt out. Of a generator that isn't outer, Spark infers a filter that takes the words twice.
+    x = x.select("*", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))).alias("at"))
+    run = F.transform("at", lambda a, i: F.struct(F.get("words", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("words")) - a).cast("long").alias("tf")))
+    x = x.select(key, "dl", F.inline_outer(run)).where("term != ''")
     return x.select("term", F.col(key).alias("key"), "tf", "dl").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
 
 
@@ -78,6 +82,8 @@ def bm25_scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataF
     for t in re.findall(TOKEN, query):
         asked[t.lower()] = asked.get(t.lower(), 0) + 1
     hits = index.postings.where(F.col("term").isin(*sorted(asked)) if asked else F.lit(False))
+    # rows of one key and length are one document
+    hits = hits.repartition("key").groupBy("term", "key", "dl").agg(F.sum("tf").alias("tf"))
     # as many rows as the query has terms
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     often = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(asked.items()) for x in kv]), F.col("term")) if asked else F.lit(0)

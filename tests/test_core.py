@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as fn
 from tarn.operators import chunk, graph, incremental, lexical, retrieve, state
+from tarn.plans import queries_retrieval
 from tarn.sources import parse
 
 
@@ -63,6 +64,25 @@ def test_a_question_reads_no_texts(spark):
     assert "regexp" not in plan and "In(term" in plan or "EqualTo(term" in plan
 
 
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_a_fit_takes_the_words_of_a_text_once(spark, monkeypatch, name):
+    plans, postings = [], lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda *a: plans.append(x := postings(*a)) or x)
+    queries_retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1
+    above, below = plans[0]._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    # a generator's row is a word, so a pattern matched above it or in it is matched once a word
+    assert "regexp" not in above + below.split("\n", 1)[0]
+    # and no filter below it matches the pattern a second time
+    assert not [x for x in below.split("\n") if "Filter" in x and "regexp" in x]
+
+
+def test_postings_count_runs_of_words(spark):
+    docs = spark.createDataFrame([(1, "b a B aB"), (2, ""), (3, None), (4, "x " * 3000 + "y")], "doc_id long, text string")
+    got = {tuple(r) for r in lexical.postings(docs).collect()}
+    assert got == {("a", 1, 2, 5), ("b", 1, 3, 5), ("x", 4, 3000, 3001), ("y", 4, 1, 3001)}
+
+
 def edges(spark, rows):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "src string, dst string, type string, seq long")
 
