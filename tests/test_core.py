@@ -64,7 +64,7 @@ def test_a_question_reads_no_texts(spark):
     assert "regexp" not in plan and "In(term" in plan or "EqualTo(term" in plan
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "graph_aware_retrieve", "graph_expand", "hybrid_candidates", "rerank_funnel", "retrieval_context"])
+@pytest.mark.parametrize("name", ["bm25_topk", "graph_aware_retrieve", "graph_expand", "hybrid_candidates", "rerank_funnel", "retrieval_context", "bm25_zero_fill"])
 def test_a_fit_takes_the_words_of_a_text_once(spark, monkeypatch, name):
     plans, postings = [], lexical.postings
     monkeypatch.setattr(lexical, "postings", lambda *a: plans.append(x := postings(*a)) or x)
